@@ -1,0 +1,37 @@
+"""Intermediate tables in the folder that all executors share.
+
+``spark.checkpoint.dir`` names it.  A table written there survives the loss of an
+executor and cuts the lineage; where the setting is missing, as in tests, a local
+folder is made and set.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is made only where none is set."""
+    there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if there:
+        return there.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="stage-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    spark.conf.set("spark.checkpoint.dir", "file://" + _own[0])
+    return "file://" + _own[0]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as parquet and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
