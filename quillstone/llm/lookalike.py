@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as at
+from .rolling import blocks
 from .staging import staged
 
 #: Code points from here on are kept, but for tags and variation selectors.
 TOP = 0x30000
+BLOCK = 1 << 18
 
 # Cyrillic and Greek letters drawn like a Latin letter.
 DRAWN_ALIKE = {
@@ -79,6 +81,8 @@ def tables() -> dict[str, np.ndarray]:
     size, start, pool = np.ones(TOP, np.uint8), np.zeros(TOP, np.int32), []
     single = np.arange(TOP, dtype=np.uint32)
     ccc = np.zeros(TOP, np.uint8)
+    jamo = np.zeros(TOP, bool)
+    jamo[0x1161:0x1200] = True
     left, right, whole = [], [], []
     for o in range(TOP):
         if 0x3400 <= o <= 0x9FFF or 0xD800 <= o <= 0xF8FF or o >= 0x20000 and o < 0x2F800:
@@ -103,83 +107,101 @@ def tables() -> dict[str, np.ndarray]:
         else:
             left.append(0x1100 + (syllable - 0xAC00) // 588), right.append(0x1161 + (syllable - 0xAC00) % 588 // 28)
         whole.append(syllable)
+    special = (size != 1) | (single != np.arange(TOP)) | (ccc > 0) | jamo
+    special[[13, TOP - 1]] = True
     key = (np.array(left, np.uint64) << np.uint64(21)) | np.array(right, np.uint64)
     order = np.argsort(key)
-    jamo = np.zeros(TOP, bool)
-    jamo[0x1161:0x1200] = True
     return {
         "size": size, "start": start, "pool": np.array(pool, np.uint32), "single": single, "ccc": ccc,
         "pair": key[order], "whole": np.array(whole, np.uint32)[order], "follows": (ccc > 0) | jamo,
+        "special": special,
     }
 
 
-def _compose(cps: np.ndarray, offs: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Marks in canonical order, joined with their bases where a composed form exists."""
-    low = np.minimum(cps, TOP - 1)
-    follows = t["follows"][low] & (cps < TOP)
-    first = np.zeros(len(cps) + 1, bool)
-    first[offs] = True
-    follows &= ~first[:-1]
-    if not follows.any():
+def _compose(cps: np.ndarray, offs: np.ndarray, t: dict, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks in canonical order, joined with their bases where a composed form exists.
+
+    ``spots`` are the places of marks; runs of them are handled side by side, the k-th
+    mark of every run in round k.
+    """
+    if not len(spots):
         return cps, offs
-    ccc = t["ccc"][low].astype(np.int64) * (cps < TOP)
-    if ((ccc[1:] > 0) & (ccc[:-1] > ccc[1:])).any():
-        run = np.cumsum((ccc == 0) | first[:-1])
-        order = np.lexsort((np.arange(len(cps)), ccc, run))
-        cps, ccc = cps[order], ccc[order]
-    cps, keep = cps.copy(), np.ones(len(cps), bool)
-    # one round per mark of the longest run: each round takes the next mark of every run at once
-    base = np.maximum.accumulate(np.where(~follows, np.arange(len(cps)), 0))
-    depth = np.arange(len(cps)) - base
-    last = np.zeros(len(cps), np.int64)  # by base: highest class of a mark that stayed
-    stuck = np.zeros(len(cps), bool)  # by base: a class-0 character stayed
-    spots = np.flatnonzero(follows)
-    for k in range(1, int(depth[spots].max()) + 1):
-        p = spots[depth[spots] == k]
-        b = base[p]
+    cps = cps.copy()
+    begins = np.isin(spots, offs)  # a mark that begins its text has no base
+    first = np.concatenate([[True], np.diff(spots) != 1]) | begins
+    run = np.cumsum(first) - 1
+    base = np.maximum(spots[first] - 1, 0)[run]
+    ccc = t["ccc"][cps[spots]].astype(np.int64)
+    if ((ccc[1:] > 0) & (ccc[:-1] > ccc[1:]) & ~first[1:]).any():
+        part = run * (len(spots) + 1) + np.cumsum(ccc == 0)  # marks don't move past a class-0 sign
+        order = np.lexsort((ccc, part))
+        cps[spots], ccc = cps[spots][order], ccc[order]
+    starter = (t["ccc"][np.minimum(cps[base], TOP - 1)] == 0) & ~begins[first][run]
+    depth = np.arange(len(spots)) - np.flatnonzero(first)[run]
+    keep = np.ones(len(cps), bool)
+    last, stuck = np.zeros(int(run[-1]) + 1, np.int64), np.zeros(int(run[-1]) + 1, bool)
+    for k in range(int(depth.max()) + 1):
+        at_k = np.flatnonzero(depth == k)
+        p, b, r, c = spots[at_k], base[at_k], run[at_k], ccc[at_k]
         key = (cps[b].astype(np.uint64) << np.uint64(21)) | cps[p].astype(np.uint64)
         i = np.minimum(np.searchsorted(t["pair"], key), len(t["pair"]) - 1)
-        free = ~stuck[b] & ((last[b] == 0) | (last[b] < ccc[p])) & ~follows[b]
-        hit = (t["pair"][i] == key) & free
+        hit = (t["pair"][i] == key) & starter[at_k] & ~stuck[r] & ((last[r] == 0) | (last[r] < c))
         cps[b[hit]] = t["whole"][i[hit]]
         keep[p[hit]] = False
         miss = ~hit
-        last[b[miss]] = np.maximum(last[b[miss]], ccc[p[miss]])
-        stuck[b[miss]] |= ccc[p[miss]] == 0
+        last[r[miss]] = np.maximum(last[r[miss]], c[miss])
+        stuck[r[miss]] |= c[miss] == 0
     return cps[keep], at.kept(keep, offs)
 
 
+def _fold_block(cps: np.ndarray, offs: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
+    beyond = len(cps) > 0 and cps.max() >= TOP
+    low = np.minimum(cps, TOP - 1) if beyond else cps
+    spots = np.flatnonzero(t["special"][low])
+    if not len(spots):
+        return cps, offs
+    here = low[spots]
+    size = t["size"][here].astype(np.int64)
+    value = t["single"][here]
+    if beyond:
+        high = cps[spots] >= TOP
+        tag = (cps[spots] >= 0xE0000) & (cps[spots] <= 0xE0FFF)
+        size = np.where(high, np.where(tag, 0, 1), size)
+        value = np.where(high, cps[spots], value)
+    cr = here == 13
+    if cr.any():  # CR LF is one line end, a lone CR is one, too
+        after = np.append(cps, 0)[spots + 1] == 10
+        after &= ~np.isin(spots + 1, offs)
+        size[cr & after] = 0
+        value[cr] = 10
+    out = cps.copy()
+    out[spots] = value
+    if (size != 1).any():
+        full = np.ones(len(cps), np.int64)
+        full[spots] = size
+        ends = np.concatenate([[0], np.cumsum(full)])
+        new = np.repeat(out, full)
+        m = size > 1
+        if m.any():
+            n = size[m]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            new[np.repeat(ends[spots[m]], n) + inner] = t["pool"][np.repeat(t["start"][here[m]], n) + inner]
+        out, offs = new, ends[offs]
+    marks = np.flatnonzero(t["follows"][np.minimum(out, TOP - 1) if beyond else out])
+    return _compose(out, offs, t, marks)
+
+
 def fold(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The consistent form of every text of a batch."""
     t = tables()
     if len(cps) == 0:
         return cps, offs
-    # CR LF is a line end; a lone CR is one too
-    cr = cps == 13
-    if cr.any():
-        after = np.append(cps[1:], 0) == 10
-        after[offs[1:-1][offs[1:-1] > 0] - 1] = False
-        drop = cr & after
-        cps = np.where(cr, 10, cps)
-        if drop.any():
-            cps, offs = cps[~drop], at.kept(~drop, offs)
-    low = np.minimum(cps, TOP - 1)
-    inside = cps < TOP
-    size = t["size"][low]
-    if not inside.all():
-        size = np.where(inside, size, ((cps < 0xE0000) | (cps > 0xE0FFF)).astype(np.uint8))
-    out = np.where(inside, t["single"][low], cps).astype(np.uint32)
-    if (size == 1).all():
-        return _compose(out, offs, t)
-    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    if size.max() <= 1:
-        return _compose(out[size == 1], ends[offs], t)
-    new = np.repeat(out, size)
-    many = np.flatnonzero(size > 1)
-    n = size[many].astype(np.int64)
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    new[np.repeat(ends[many], n) + inner] = t["pool"][np.repeat(t["start"][low[many]], n) + inner]
-    return _compose(new, ends[offs], t)
+    parts, ends = [], [np.zeros(1, np.int64)]
+    for a, b in blocks(offs, BLOCK):
+        c, o = _fold_block(cps[offs[a] : offs[b]], offs[a : b + 1] - offs[a], t)
+        parts.append(c)
+        ends.append(o[1:] + ends[-1][-1])
+    return np.concatenate(parts), np.concatenate(ends)
 
 
 @lru_cache(1)

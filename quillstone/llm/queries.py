@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalike, near_duplicates, shared_spans
+from . import leaks, lookalike, near_duplicates, shared_spans
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -30,6 +30,19 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_read(spark, d, "ingest"), "row_id", "body").withColumnRenamed("id", "row_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+
+
+def p6_leak_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+
+
+def p6_without_leaks(spark: SparkSession, d: str) -> DataFrame:
+    out = leaks.without_leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+    return out.select("doc_id", "removed_chars", F.length("text").cast("long").alias("chars_left"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_spans(_read(spark, d, "documents"))
 
