@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, lookalike, near_duplicates, shared_spans
+from . import leaks, lookalike, near_duplicates, residue, shared_spans
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.excluded(_read(spark, d, "ingest"), "row_id", ["title", "body"]).withColumnRenamed("id", "row_id")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    out = residue.residue(_read(spark, d, "ingest"), "row_id", ["title", "body"])
+    return out.filter("residue_chars = 0").select(F.col("id").alias("row_id"), "prose_chars")
+
+
+def p2_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(_read(spark, d, "ingest"), "row_id", ["title", "body"]).filter("residue_chars > 0").withColumnRenamed("id", "row_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_read(spark, d, "ingest"), "row_id", ["title", "body"])
 
