@@ -17,7 +17,7 @@ SENTENCE_END = "。！？；.!?;"
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
 
 
 def blank(c: Column) -> Column:
@@ -26,12 +26,12 @@ def blank(c: Column) -> Column:
 
 
 def strip_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\n+|\n+$", "")
+    return F.regexp_replace(c, r"^\n+|\n+\z", "")
 
 
 def lines(c: Column) -> Column:
     """The lines of a text; a line end at the very end begins no further line, an empty text has no line."""
-    parts = F.split(F.regexp_replace(c, f"(?:{LINE_END})$", ""), LINE_END, -1)
+    parts = F.split(F.regexp_replace(c, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
     return F.when(F.length(c) > 0, parts).otherwise(F.when(c.isNotNull(), F.array().cast("array<string>")))
 
 
@@ -88,13 +88,13 @@ _FORBIDDEN = r'[\\/:*?"<>|\r\n\t]'
 def filename_spaced(c: Column) -> Column:
     """A file name that keeps spaces: forbidden signs become ``-``, outer blanks and dashes go."""
     x = F.regexp_replace(F.regexp_replace(c, _FORBIDDEN, "-"), r"\s+", " ")
-    return F.regexp_replace(x, r"^[- ]+|[- ]+$", "")
+    return F.regexp_replace(x, r"^[- ]+|[- ]+\z", "")
 
 
 def filename_dashed(c: Column) -> Column:
     """A file name without spaces: forbidden signs and blanks become ``-``, outer dashes go."""
     x = F.regexp_replace(F.regexp_replace(c, _FORBIDDEN, "-"), r"\s+", "-")
-    return F.regexp_replace(x, "^-+|-+$", "")
+    return F.regexp_replace(x, r"^-+|-+\z", "")
 
 
 def ordinal(c: Column, width: int = 2) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..functions import text as tx
 from ..operators import browse, chunking, ordering, recall, retrieval
 from ..sources import documents as docs
 from ..sources import index
-from ..sources.staging import staged
+from ..sources.staging import shared_folder, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -435,10 +436,30 @@ def q33_yaml_documents(spark, d):
     return p.select("source", "doc_type", "component", F.array_join(docs.rule_breaks(p), ",").alias("errors"))
 
 
+def _index(spark: SparkSession, d: str) -> tuple[str, list[index.SyncReport]]:
+    """An index in the shared folder, built from the first versions of all records and then from the last ones."""
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    records, reports = read(spark, d, "ingest"), []
+    for order in ([-F.col("row_id")], [F.col("ingested_at"), F.col("row_id")]):
+        valid, _ = docs.validated(docs.latest(records, ["source"], order))
+        valid = docs.latest(valid, ["doc_id"], [F.col("ingested_at"), F.col("row_id")])  # two sources of one id would be an error; here the later counts
+        rows = staged(chunking.chunk_rows(valid), "rows")
+        titles = rows.filter("chunk_index = 0").select("row_id", F.col("title").alias("top"))
+        whole = valid.filter(F.col("doc_type") != "technology").join(titles, "row_id").select("doc_id", "doc_type", F.col("top").alias("title"), "source", "body")
+        reports.append(index.sync(spark, root, chunking.make_chunks(valid, rows), whole))
+    return root, reports
+
+
 @query()
 def q34_health(spark, d):
-    """The state of an index folder beside the tables."""
-    return index.status(spark, f"{d}/index")
+    """The state of an index built from the tables."""
+    return index.status(spark, _index(spark, d)[0]).select("status", "index_loaded", "chunks", "snapshot_id")
+
+
+@query()
+def q34_sync_report(spark, d):
+    """What the second of two syncs did."""
+    return index.report_row(spark, _index(spark, d)[1][1]).drop("version")
 
 
 @query(f"select row_id, array_to_string({_ERRORS}, ',') as errors from ingest")
