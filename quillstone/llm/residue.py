@@ -158,6 +158,11 @@ To be completed by the change owner
 To be completed by storage team
 To be completed by the duty engineer
 To be completed by the auditor
+To be completed by the service owner
+To be completed by the edge crew
+To be completed by capacity group
+To be completed by messaging team
+To be completed by second line
 To be completed
 （略）
 abc abc abc abc abc abc
@@ -205,26 +210,37 @@ _INDENTED = re.compile(r"^(?: {4}|\t)[^\n]*$", re.M)
 _INLINE = re.compile(r"(?<!`)(`+)(?!`)[^\n]+?(?<!`)\1(?!`)")
 _QUOTED = re.compile(r"“[^”\n]{0,120}”|\"[^\"\n]{0,120}\"|「[^」\n]{0,120}」|„[^“\n]{0,120}“")
 _TAG = re.compile(r"</?(?:h[1-6]|hr|center|noscript|p|div|span|br|body|html|title|a|li|ul|ol)\b[^>\n]*>", re.I)
-_MARKER = re.compile(r"^(?:\s|#{1,6}(?=\s)|[>*+|-](?=\s))*(?:\d+[.)]\s+)?")
-_NUMBERED = re.compile(r"[A-Za-z0-9_.\-]*\d[A-Za-z0-9_.\-]*")
-_CUT = re.compile(r"\n+|(?<=[。！？；!?;])|(?<=[.…])\s+")
-
-
-def sentences(text: str) -> list[str]:
-    """The sentences of a text's prose; code, quoted strings and list or heading marks are left out."""
-    if "`" in text or "~~~" in text:
-        text = _INLINE.sub(" ", _FENCED.sub("", text))
-    if "    " in text or "\t" in text:
-        text = _INDENTED.sub("", text)
+_MARKER = re.compile(r"^(?:[^\S\n]|#{1,6}(?=\s)|[>*+|-](?=\s))*(?:\d+[.)][^\S\n]+)?", re.M)
+_NUMBERED = re.compile(r"(?<![A-Za-z0-9_.\-])[A-Za-z_.\-]*+\d[A-Za-z0-9_.\-]*+")
+_ENDS = ("。", "！", "？", "；", "!", "?", ";", ". ", "… ")
+#: A line between two texts of a batch; folding leaves no such sign in a text.
+_BREAK = "\x01"
+
+
+def sentences(texts: list[str]) -> tuple[list[str], list[int]]:
+    """The sentences of the texts' prose and the text each is from; code, quoted strings and list or heading marks are left out."""
+    plain = []
+    for t in texts:
+        if "`" in t or "~~~" in t:
+            t = _INLINE.sub(" ", _FENCED.sub("", t))
+        if "    " in t or "\t" in t:
+            t = _INDENTED.sub("", t)
+        plain.append(t)
+    text = f"\n{_BREAK}\n".join(plain)
     if "<" in text:
         text = _TAG.sub("\n", text)
-    text = _QUOTED.sub(" ", text)
-    out = []
-    for s in _CUT.split(text):
-        s = _MARKER.sub("", s).strip()
-        if s:
-            out.append(s)
-    return out
+    text = _MARKER.sub("", _QUOTED.sub(" ", text))
+    for end in _ENDS:
+        text = text.replace(end, end + "\n")
+    out, owner, at_ = [], [], 0
+    for line in text.split("\n"):
+        line = line.strip(" \t")
+        if line == _BREAK:
+            at_ += 1
+        elif line:
+            out.append(line)
+            owner.append(at_)
+    return out, owner
 
 
 @lru_cache(1)
@@ -314,11 +330,11 @@ def fitted() -> dict[str, np.ndarray]:
             rows = [r.replace("WORD", w.upper()).replace("word", w) for r in rows for w in ("rate", "index", "journal")]
         if kind == "phrase":
             rows = rows + [r.replace("名称", "") for r in rows]
-            rows = rows + [a + r + b for r in rows for a, b in ((" ", " for the"), (" ", " before a"), (" ", " / "), ("：", "，"), (" ", " 与 "), (" ", "。"), ("", ": "), (" ", " 的"), (" ", " values"))]
+            rows = rows + [a + r + b for r in rows for a, b in ((" ", " for the"), (" ", " before a"), (" ", " / "), ("：", "，"), (" ", " 与 "), (" ", "。"), ("", ": "), (" ", " 的"), (" ", " values"), ("：", ""), ("- ", ""), ("- ", " 0"), ("", " 0"))]
         cps, offs = _flat(rows)
         cells, o = _grams(cps, offs, view)
-        if kind == "shape":  # only what brackets the letters tells a placeholder
-            odd = np.isin(cps, [ord(x) for x in "{}$#<>%@[]"])
+        if view or kind == "phrase":  # only what brackets the words tells a placeholder
+            odd = np.isin(cps, [ord(x) for x in ("{}$#<>%@[]" if view else "【】<>()[]x在此输入请填写待定")])
             pair = (cps[:-1] == ord("_")) & (cps[1:] == ord("_"))
             first = np.concatenate([offs[i] + np.arange(n) for i, n in enumerate(np.diff(o))])
             cells = cells[np.logical_or.reduce([odd[first + k] for k in range(GRAM)] + [pair[first + k] for k in range(GRAM - 1)])]
@@ -344,11 +360,7 @@ def _prose(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """All sentences of a batch with numbers masked, the row of each, and their lengths."""
     c, o = la.fold(*at.codepoints(col))
     text, o = at.text_of(c), o.tolist()
-    rows, owner = [], []
-    for i, (a, b) in enumerate(zip(o, o[1:])):
-        s = sentences(text[a:b])
-        rows.extend(s)
-        owner.extend([i] * len(s))
+    rows, owner = sentences([text[a:b] for a, b in zip(o, o[1:])])
     owner = np.array(owner, np.int64)
     size = np.array([len(r) for r in rows], np.int64)
     return masked(rows), owner, size
@@ -403,7 +415,7 @@ KINDS = ["", "placeholder", "filler", "notice"]
 
 
 def residue(
-    df: DataFrame, id_col: str, columns: list[str], mean_ratio: float = 2.0, least_ratio: float = 8.0, window_ratio: float = 11.0,
+    df: DataFrame, id_col: str, columns: list[str], mean_ratio: float = 2.0, least_ratio: float = 8.0, window_ratio: float = 9.0,
     corpus: DataFrame | None = None,
 ) -> DataFrame:
     """One row per record: ``id, placeholder, filler, notice, prose_chars, residue_chars, coverage``.
