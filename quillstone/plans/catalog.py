@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as hx
 from ..functions import text as tx
-from ..operators import browse, chunking, ordering, recall, retrieval
+from ..operators import browse, chunking, ordering, recall, retrieval, vectors
 from ..sources import documents as docs
 from ..sources import index
 from ..sources.staging import shared_folder, staged
@@ -294,6 +294,26 @@ def q18_batch_recall(spark, d):
     return recall.recall(q, e.withColumnRenamed("vec_id", "id")).select("query_id", "id", F.round("cosine", 6).alias("score"), "recall_rank")
 
 
+def _ivf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    q = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    centres = vectors.fit(e)
+    return q, e, vectors.search(q, vectors.assigned(e, centres), centres)
+
+
+@query()
+def q18_index_recall(spark, d):
+    """Approximate neighbours by the inverted-file index."""
+    return _ivf(spark, d)[2].select("query_id", "id", F.round("cosine", 6).alias("score"), "recall_rank")
+
+
+@query()
+def q18_index_quality(spark, d):
+    """What part of the exact neighbours the index finds."""
+    q, e, got = _ivf(spark, d)
+    return vectors.quality(got, recall.recall(q, e))
+
+
 @query(f"""with {_CUR}, p as (select distinct query_id, recall_rank, chunk_id from scored),
   t as (select p.query_id, p.recall_rank, p.chunk_id, list_distinct(regexp_extract_all(lower(q.query), '([a-z0-9]+|[一-龥])')) as a, list_distinct(regexp_extract_all(lower(c.text), '([a-z0-9]+|[一-龥])')) as b
     from p join queries q using (query_id) join cur c using (chunk_id))

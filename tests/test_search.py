@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.errors import KnowledgeUnavailable, RequestInvalid
 from quillstone.functions import html as hx
-from quillstone.operators import browse, ordering, recall
+from quillstone.operators import browse, ordering, recall, vectors
 from quillstone.operators import retrieval as rt
 
 SNAP = "a" * 64
@@ -172,3 +172,22 @@ def test_html_columns(spark):
     assert a[1][0] is None and a[1][1] is None
     x = d.limit(1).select(hx.description_after("h", F.lit("/m/x.html")), hx.resolved(F.lit("https://a.example/q/"), F.lit("../m"))).first()
     assert tuple(x) == ("about", "https://a.example/m")
+
+
+def test_index_recall(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(12, 16))
+    v = centre[rng.integers(0, 12, 3000)] + 0.6 * rng.normal(size=(3000, 16))
+    rows = [(i, v[i].tolist()) for i in range(3000)] + [(9000, None), (9001, [0.0] * 16), (9002, [1.0])]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    queries = corpus.filter("id % 20 = 0 and id < 3000").select(F.col("id").alias("query_id"), "embedding")
+    centres = vectors.fit(corpus, sample_rows=1000)
+    index = vectors.assigned(corpus, centres)
+    assert index.count() == 3000
+    got = vectors.search(queries, index, centres, slice_rows=50)
+    assert vectors.quality(got, recall.recall(queries, corpus)).first().recall >= 0.9
+    assert got.groupBy("query_id").count().filter("count <> 20").count() == 0
+    whole = vectors.search(queries, index, centres, probes=len(centres))
+    assert vectors.quality(whole, recall.recall(queries, corpus)).first().recall == 1.0
+    nothing = vectors.fit(corpus.limit(0))
+    assert vectors.search(queries, vectors.assigned(corpus, nothing), nothing).count() == 0
