@@ -21,14 +21,20 @@ from .recall import _matrix
 SAMPLE_ROWS, MOST_CELLS, SLICE_ROWS = 20_000, 4096, 20_000
 
 
-def fit(corpus: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_ROWS, rounds: int = 8, seed: int = 0) -> np.ndarray:
-    """Unit cell centres by spherical k-means over at most ``sample_rows`` rows, drawn by a hash of their ids."""
+def fit(
+    corpus: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_ROWS, rounds: int = 8, seed: int = 0, k: int = 20, target: float = 0.97
+) -> tuple[np.ndarray, int]:
+    """Unit cell centres by spherical k-means over at most ``sample_rows`` rows, drawn by a hash of their ids.
+
+    Also how many cells a query has to look into: the fewest with which up to 256 rows of
+    the sample find ``target`` of their ``k`` nearest in the sample.
+    """
     n = corpus.count()
     cells = min(MOST_CELLS, cells or max(1, round(2 * math.sqrt(n))))
     part = corpus.filter("embedding is not null").orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample_rows)
     t = part.select("id", F.col("embedding").cast("array<double>").alias("embedding")).toArrow()
     if t.num_rows == 0:
-        return np.zeros((0, 0))
+        return np.zeros((0, 0)), 1
     col = t["embedding"].combine_chunks()
     import pyarrow.compute  # noqa: F401
 
@@ -36,7 +42,7 @@ def fit(corpus: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_R
     m, ok = _matrix(col, dim)
     m = m[ok]
     if not len(m):
-        return np.zeros((0, dim))
+        return np.zeros((0, dim)), 1
     rng = np.random.default_rng(seed)
     centres = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
     for _ in range(rounds):
@@ -45,7 +51,12 @@ def fit(corpus: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_R
         np.add.at(sums, nearest, m)
         norm = np.linalg.norm(sums, axis=1)
         centres = np.where(norm[:, None] > 0, sums / np.maximum(norm, 1e-12)[:, None], centres)
-    return centres
+    q = m[rng.choice(len(m), min(256, len(m)), replace=False)]
+    near = np.argsort(-(q @ m.T), axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)  # of each cell in a query's order
+    needed = np.take_along_axis(place, np.argmax(m @ centres.T, axis=1)[near], 1)
+    probes = 1 + int(np.quantile(needed, target, method="higher"))
+    return centres, probes
 
 
 def assigned(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -85,9 +96,8 @@ def probing(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     return src.mapInArrow(run, "query_id long, cell int, embedding array<double>")
 
 
-def search(queries: DataFrame, rows: DataFrame, centres: np.ndarray, k: int = 20, probes: int | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, centres: np.ndarray, k: int = 20, probes: int = 16, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``query_id, id, cosine, recall_rank`` of the nearest rows within the probed cells."""
-    probes = probes or max(4, len(centres) // 3)
     slices = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias("slices"))
     left = rows.join(slices, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), "id", "embedding")
     right = probing(queries, centres, probes).join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("cell", "slice", "query_id", "embedding")

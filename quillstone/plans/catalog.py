@@ -297,8 +297,8 @@ def q18_batch_recall(spark, d):
 def _ivf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = read(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
     q = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
-    centres = vectors.fit(e)
-    return q, e, vectors.search(q, vectors.assigned(e, centres), centres)
+    centres, probes = vectors.fit(e)
+    return q, e, vectors.search(q, vectors.assigned(e, centres), centres, probes=probes)
 
 
 @query()
@@ -462,7 +462,7 @@ def _index(spark: SparkSession, d: str) -> tuple[str, list[index.SyncReport]]:
     records, reports = read(spark, d, "ingest"), []
     for order in ([-F.col("row_id")], [F.col("ingested_at"), F.col("row_id")]):
         valid, _ = docs.validated(docs.latest(records, ["source"], order))
-        valid = docs.latest(valid, ["doc_id"], [F.col("ingested_at"), F.col("row_id")])  # two sources of one id would be an error; here the later counts
+        valid = docs.latest(valid, ["doc_id"], order)  # two sources of one id would be an error; here one of them counts
         rows = staged(chunking.chunk_rows(valid), "rows")
         titles = rows.filter("chunk_index = 0").select("row_id", F.col("title").alias("top"))
         whole = valid.filter(F.col("doc_type") != "technology").join(titles, "row_id").select("doc_id", "doc_type", F.col("top").alias("title"), "source", "body")

@@ -181,13 +181,14 @@ def test_index_recall(spark):
     rows = [(i, v[i].tolist()) for i in range(3000)] + [(9000, None), (9001, [0.0] * 16), (9002, [1.0])]
     corpus = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
     queries = corpus.filter("id % 20 = 0 and id < 3000").select(F.col("id").alias("query_id"), "embedding")
-    centres = vectors.fit(corpus, sample_rows=1000)
+    centres, probes = vectors.fit(corpus, sample_rows=1000)
+    assert probes < len(centres)
     index = vectors.assigned(corpus, centres)
     assert index.count() == 3000
-    got = vectors.search(queries, index, centres, slice_rows=50)
+    got = vectors.search(queries, index, centres, probes=probes, slice_rows=50)
     assert vectors.quality(got, recall.recall(queries, corpus)).first().recall >= 0.9
     assert got.groupBy("query_id").count().filter("count <> 20").count() == 0
     whole = vectors.search(queries, index, centres, probes=len(centres))
     assert vectors.quality(whole, recall.recall(queries, corpus)).first().recall == 1.0
-    nothing = vectors.fit(corpus.limit(0))
+    nothing, _ = vectors.fit(corpus.limit(0))
     assert vectors.search(queries, vectors.assigned(corpus, nothing), nothing).count() == 0
