@@ -13,7 +13,7 @@ from quillstone.llm import leaks, mixture, shared_spans
 from quillstone.llm import lookalike as la
 from quillstone.llm import near_duplicates as nd
 from quillstone.llm.rolling import gram_hashes, sliding_min
-from quillstone.llm.staging import shared_folder
+from quillstone.sources.staging import shared_folder
 
 WORDS = ["租约", "偏移", "queue", "latch ", "回切", "shard_", "预热", "commit", "超时，", "重试。", "gate-", "负责人", "磁盘", "é", "😀", "7"]
 
