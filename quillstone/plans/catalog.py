@@ -13,6 +13,7 @@ from ..functions import html as hx
 from ..functions import text as tx
 from ..operators import browse, chunking, ordering, recall, retrieval, vectors
 from ..sources import documents as docs
+from . import pipeline, preparation
 from ..sources import index
 from ..sources.staging import shared_folder, staged
 
@@ -456,7 +457,7 @@ def q33_yaml_documents(spark, d):
     return p.select("source", "doc_type", "component", F.array_join(docs.rule_breaks(p), ",").alias("errors"))
 
 
-def _index(spark: SparkSession, d: str) -> tuple[str, list[index.SyncReport]]:
+def _index(spark: SparkSession, d: str, vectors: bool = False) -> tuple[str, list[index.SyncReport]]:
     """An index in the shared folder, built from the first versions of all records and then from the last ones."""
     root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     records, reports = read(spark, d, "ingest"), []
@@ -466,7 +467,11 @@ def _index(spark: SparkSession, d: str) -> tuple[str, list[index.SyncReport]]:
         rows = staged(chunking.chunk_rows(valid), "rows")
         titles = rows.filter("chunk_index = 0").select("row_id", F.col("title").alias("top"))
         whole = valid.filter(F.col("doc_type") != "technology").join(titles, "row_id").select("doc_id", "doc_type", F.col("top").alias("title"), "source", "body")
-        reports.append(index.sync(spark, root, chunking.make_chunks(valid, rows), whole))
+        chunks = chunking.make_chunks(valid, rows)
+        if vectors:
+            keyed = chunks.withColumn("id", F.xxhash64("chunk_id"))
+            chunks = keyed.join(pipeline.hashed_vectors(keyed.select("id", "text")), "id").drop("id")
+        reports.append(index.sync(spark, root, chunks, whole))
     return root, reports
 
 
@@ -533,3 +538,26 @@ def q40_dry_run(spark, d):
 @query()
 def q41_page_markdown(spark, d):
     return _pages(spark, d).select("row_id", hx.to_markdown("html", "title").alias("markdown"))
+
+
+@query()
+def q42_level1_markdown(spark, d):
+    """Documents as one Markdown file per level-1 heading."""
+    f = preparation.level1_markdown(read(spark, d, "documents"), "doc_id", "text", "ops")
+    return f.select(F.col("id").alias("doc_id"), "file_no", "filename", F.md5("content").alias("digest"))
+
+
+@query()
+def q42_page_files(spark, d):
+    """Pages as Markdown files with front matter, numbered over the whole table."""
+    p = ordering.with_position(_pages(spark, d), [F.col("row_id")], "ordinal")
+    p = p.select(F.col("row_id").alias("page_id"), "ordinal", F.concat(F.lit("https://pages.example/"), "row_id").alias("url"), "title", "html")
+    return preparation.page_files(p, F.lit("ops")).select("page_id", "filename", F.md5("content").alias("digest"))
+
+
+@query()
+def q43_search_index(spark, d):
+    """Requests against an index built from the tables, with the stand-in models."""
+    root, _ = _index(spark, d, vectors=True)
+    items, _ = pipeline.search(spark, root, read(spark, d, "queries"))
+    return items.select("query_id", "rank", "content_mode", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
