@@ -396,8 +396,9 @@ def judge(rows: list[str], ratio: dict[str, np.ndarray], mean_ratio: float, leas
     shape, _ = _grams(cps, offs, 1)
     n = np.diff(o)
     kind, score = np.zeros(len(rows), np.int8), np.zeros(len(rows), np.float32)
-    windows = np.maximum(ratio["phrase"][raw], np.maximum(ratio["shape"][shape], -1.0))
-    run = np.concatenate([[0.0], np.cumsum(np.maximum(windows, -1.0), dtype=np.float64)])
+    # a placeholder is short: what else its window holds weighs little against it
+    windows = np.maximum(np.maximum(ratio["phrase"][raw], ratio["shape"][shape]), -0.25)
+    run = np.concatenate([[0.0], np.cumsum(windows, dtype=np.float64)])
     starts = np.arange(len(windows))
     ends = np.minimum(starts + WINDOW, np.repeat(o[1:], n))
     best = np.maximum.reduceat(run[ends] - run[starts], o[:-1])
