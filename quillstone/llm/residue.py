@@ -4,8 +4,9 @@ Character 4-gram models of three kinds of residue and of natural prose:
 
 * ``filler`` and ``notice`` are fitted on the phrases below, ``placeholder`` on phrases and
   on bracket shapes, in which letters stand for their class;
-* natural prose is fitted on the whole corpus, code taken out (residue is a small part of
-  it and far rarer there than in the fitted phrases).
+* natural prose is fitted on the different sentences of the whole corpus, code and sentences
+  that the phrases alone make filler or notices taken out, so that frequent residue and
+  copies of a page don't become natural.
 
 A text's prose is cut into sentences; each gets the log-likelihood ratio of every model
 against natural prose.  A sentence is filler or a notice if its mean ratio is high, so one
@@ -33,6 +34,9 @@ CELLS = 1 << 20
 GRAM = 4
 START, END = 2, 3  # code points put around each sentence
 WINDOW = 16
+HELD = 1 << 22  # bytes of sentences counted at once
+#: The kinds that are judged by whole sentences, and their models.
+WHOLE = ((2, ("filler", "lorem")), (3, ("notice",)))
 
 # Phrases the models of residue are fitted on.
 NOTICES = """
@@ -43,6 +47,10 @@ NOTICES = """
 正在加载，请稍候。
 加载中
 加载中……
+正在加载
+请稍候
+Loading
+Please wait
 You need to enable JavaScript to run this app.
 Please enable JavaScript to view this page.
 JavaScript is required to view this site.
@@ -213,6 +221,7 @@ _TAG = re.compile(r"</?(?:h[1-6]|hr|center|noscript|p|div|span|br|body|html|titl
 _MARKER = re.compile(r"^(?:[^\S\n]|#{1,6}(?=\s)|[>*+|-](?=\s))*(?:\d+[.)][^\S\n]+)?", re.M)
 _NUMBERED = re.compile(r"(?<![A-Za-z0-9_.\-])[A-Za-z_.\-]*+\d[A-Za-z0-9_.\-]*+")
 _ENDS = ("。", "！", "？", "；", "!", "?", ";", ". ", "… ")
+_CLOSING = " .。!！…:："
 #: A line between two texts of a batch; folding leaves no such sign in a text.
 _BREAK = "\x01"
 
@@ -366,36 +375,86 @@ def _prose(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return masked(rows), owner, size
 
 
-def natural_counts(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Gram counts of the prose of all rows, for both views; at most 2 x CELLS numbers reach the driver."""
-    src = df.select(*columns)
+def natural_counts(df: DataFrame, columns: list[str], mean_ratio: float = 2.0, least_ratio: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """Gram counts of the different sentences of all rows, for both views; at most 2 x CELLS numbers reach the driver.
 
-    def run(batches):
-        total = np.zeros(2 * CELLS, np.int64)
+    A sentence counts once, however often it stands, and not at all where the phrases alone
+    make it filler or a notice: frequent residue doesn't become natural.
+    """
+    nothing = np.zeros(CELLS, np.int64)
+    bare = ratios((nothing, nothing))
+    bare = df.sparkSession.sparkContext.broadcast({k: bare[k] for _, names in WHOLE for k in names})
+
+    def cut(batches):
         for b in batches:
             for col in b.columns:
                 rows, _, _ = _prose(col)
-                if rows:
-                    cps, offs = _flat(rows)
-                    for view in (0, 1):
-                        total[view * CELLS : (view + 1) * CELLS] += np.bincount(_grams(cps, offs, view)[0], minlength=CELLS)
+                yield pa.RecordBatch.from_arrays([pa.array(list(dict.fromkeys(rows)), pa.string())], names=["sentence"])
+
+    def run(batches):
+        total = np.zeros(2 * CELLS, np.int64)
+
+        def add(rows: list[str]) -> None:
+            cps, offs = _flat(rows)
+            raw, o = _grams(cps, offs, 0)
+            kind, _ = _whole(rows, raw, o, bare.value, mean_ratio, least_ratio)
+            left = np.repeat(kind == 0, np.diff(o))
+            for view, cells in ((0, raw), (1, _grams(cps, offs, 1)[0])):
+                total[view * CELLS : (view + 1) * CELLS] += np.bincount(cells[left], minlength=CELLS)
+
+        held, size = [], 0
+        for b in batches:
+            held += b.column(0).to_pylist()
+            size += b.nbytes
+            if size >= HELD:
+                add(held)
+                held, size = [], 0
+        if held:
+            add(held)
         at_ = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at_.astype(np.int32)), pa.array(total[at_])], names=["cell", "n"])
 
-    sums = src.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    different = df.select(*columns).mapInArrow(cut, "sentence string").distinct()
+    sums = different.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     t = sums.toArrow()
     both = np.zeros(2 * CELLS, np.int64)
     both[t["cell"].to_numpy()] = t["n"].to_numpy()
     return both[:CELLS], both[CELLS:]
 
 
+@lru_cache(1)
+def _phrases() -> list[str]:
+    return [p.lower().strip(_CLOSING) for p in masked([la.fold_string(r) for r in (NOTICES + FILLERS).split("\n") if r])]
+
+
+@lru_cache(1 << 12)
+def _only_part(row: str) -> bool:
+    """Whether a sentence is a small part of each phrase that holds it, as a heading of one word may be."""
+    t = row.lower().strip(_CLOSING)
+    holding = [len(p) for p in _phrases() if t in p]
+    return bool(holding) and len(t) < (6 if min(holding) < 12 and len(t) < min(holding) else min(holding) / 2)
+
+
+def _whole(rows: list[str], raw: np.ndarray, o: np.ndarray, ratio: dict[str, np.ndarray], mean_ratio: float, least_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each sentence the kind of residue (0 none, 2 filler, 3 notice) that it is as a whole, and the mean ratio."""
+    n = np.diff(o)
+    kind, score = np.zeros(len(rows), np.int8), np.zeros(len(rows), np.float32)
+    for k, names in WHOLE:
+        for name in names:
+            total = np.add.reduceat(ratio[name][raw], o[:-1])
+            for i in np.flatnonzero((kind == 0) & (total / n >= mean_ratio) & (total >= least_ratio)):
+                if not _only_part(rows[i]):
+                    kind[i], score[i] = k, total[i] / n[i]
+    return kind, score
+
+
 def judge(rows: list[str], ratio: dict[str, np.ndarray], mean_ratio: float, least_ratio: float, window_ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """For each sentence the kind of residue (0 none, 1 placeholder, 2 filler, 3 notice) and the mean or window ratio."""
     cps, offs = _flat(rows)
     raw, o = _grams(cps, offs, 0)
     shape, _ = _grams(cps, offs, 1)
     n = np.diff(o)
-    kind, score = np.zeros(len(rows), np.int8), np.zeros(len(rows), np.float32)
+    kind, score = _whole(rows, raw, o, ratio, mean_ratio, least_ratio)
     # a placeholder is short: what else its window holds weighs little against it
     windows = np.maximum(np.maximum(ratio["phrase"][raw], ratio["shape"][shape]), -0.25)
     run = np.concatenate([[0.0], np.cumsum(windows, dtype=np.float64)])
@@ -404,11 +463,6 @@ def judge(rows: list[str], ratio: dict[str, np.ndarray], mean_ratio: float, leas
     best = np.maximum.reduceat(run[ends] - run[starts], o[:-1])
     hit = best >= window_ratio
     kind[hit], score[hit] = 1, best[hit]
-    for k, names in ((2, ("filler", "lorem")), (3, ("notice",))):
-        for name in names:
-            total = np.add.reduceat(ratio[name][raw], o[:-1])
-            hit = (kind == 0) & (total / n >= mean_ratio) & (total >= least_ratio)
-            kind[hit], score[hit] = k, (total / n)[hit]
     return kind, score
 
 
@@ -426,7 +480,7 @@ def residue(
     ``df`` by default.  Repeated rows are judged each on their own.
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(columns)]).filter("id is not null")
-    natural = natural_counts(corpus if corpus is not None else src, [f"c{k}" for k in range(len(columns))] if corpus is None else columns)
+    natural = natural_counts(corpus if corpus is not None else src, [f"c{k}" for k in range(len(columns))] if corpus is None else columns, mean_ratio, least_ratio)
     model = df.sparkSession.sparkContext.broadcast(ratios(natural))
 
     def run(batches):

@@ -164,3 +164,20 @@ def test_residue_is_found_and_explanations_stay(spark):
     full = {r.id: r for r in residue.residue(df, "row_id", ["title", "body"]).collect()}
     assert full[2000].prose_chars == 0 and full[2000].coverage == 0.0 and 0 < full[1003].coverage < 0.2
     assert residue.residue(df.limit(0), "row_id", ["body"]).count() == 0
+
+
+def plain_text(rng, n):
+    words = "queue latch shard commit gate replica offset lease drain probe quota ledger 租约 偏移 回切 预热 磁盘 副本 水位 切换 扩容".split()
+    return "\n\n".join(" ".join(rng.choice(words) for _ in range(12)) + "." for _ in range(n))
+
+
+def test_a_notice_page_in_a_third_of_all_rows_is_still_residue(spark):
+    rng = random.Random(6)
+    pages = ["请启用 JavaScript 以继续访问本站。", "Please enable JavaScript to view this page.", "# 404 Not Found\n\nThe requested URL was not found on this server.", "页面不存在"]
+    for page in pages:
+        rows = [(i, plain_text(rng, 6)) for i in range(200)]
+        rows += [(1000 + i, page) for i in range(100)] + [(2000 + i, plain_text(rng, 5) + "\n\n" + page) for i in range(100)]
+        df = spark.createDataFrame(rows, "row_id long, body string")
+        assert {r[0] for r in residue.excluded(df, "row_id", ["body"]).collect()} == {i for i, _ in rows if i >= 1000}, page
+    rows = [(i, "## Zugriff\n\n" + plain_text(rng, 6)) for i in range(200)] + [(1000 + i, plain_text(rng, 5) + " at {{gate_name}} " + plain_text(rng, 1)) for i in range(100)]
+    assert residue.excluded(spark.createDataFrame(rows, "row_id long, body string"), "row_id", ["body"]).count() == 100
