@@ -5,9 +5,12 @@ one-permutation minhash over its distinct character runs: two texts of similarit
 differ in about (1 - J) / 2 of the bits.  Every 23-bit segment is decoded with the binary
 Golay code to all codewords within distance 4 (one within 3, as the code is perfect, and
 about four more), so segments with a few differing bits share a codeword.  A key joins the
-codeword indices of ``together`` neighbouring segments.  By the pigeonhole principle,
-differing bits spread over the segments, some group has few, and the pair meets in a key.
-Pairs that meet are screened by the distance of their fingerprints and verified exactly.
+codeword indices of two neighbouring segments, whatever the size of the table, so that a pair
+is found in a large one as in a small one.  By the pigeonhole principle, differing bits
+spread over the segments, some group has few, and the pair meets in a key.  Each key carries
+64 bits of other segments: texts that meet by chance, a number that grows with the table,
+fail on these within the join.  Pairs left are screened by the distance of their
+fingerprints and verified exactly.
 
 Equal texts are one class with one representative; keys, joins and verification run over
 classes.  No bucket is capped.
@@ -30,6 +33,7 @@ from ..sources.staging import staged
 # Fixed value: generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b101011100011
 RADIUS = 4
+TOGETHER = 2  # segments of a key
 BLOCK = 1 << 19
 
 
@@ -118,27 +122,26 @@ def _forms(least: int, run_length: int, segments: int):
     return run
 
 
-def _keys(together: int):
-    """``id, print -> id, key``: for each group of segments every combination of nearby codewords."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            segments = len(b.column(1)[0])
-            words = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, segments).astype(np.uint32)
-            ids = b.column(0).to_numpy()
-            for g in range(segments // together):
-                key, owner = np.full(len(ids), g, np.int64), np.arange(len(ids))
-                for s in range(together):
-                    index, count = codewords(words[owner, g * together + s])
-                    n = count
-                    j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    pick = np.repeat(np.arange(len(owner)), n)
-                    key, owner = (key[pick] << 12) | index[pick, j], owner[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(key)], names=["id", "key"])
-
-    return run
+def _keys(batches):
+    """``id, print -> id, key, sketch``: for each group of segments every combination of nearby codewords, and bits of the next segments."""
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        segments = len(b.column(1)[0])
+        words = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, segments).astype(np.uint32)
+        ids = b.column(0).to_numpy()
+        for g in range(segments // TOGETHER):
+            key, owner = np.full(len(ids), g, np.int64), np.arange(len(ids))
+            for s in range(TOGETHER):
+                index, count = codewords(words[owner, g * TOGETHER + s])
+                n = count
+                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pick = np.repeat(np.arange(len(owner)), n)
+                key, owner = (key[pick] << 12) | index[pick, j], owner[pick]
+            sketch = np.zeros(len(ids), np.uint64)
+            for k in range(3):
+                sketch |= words[:, (g * TOGETHER + TOGETHER + k) % segments].astype(np.uint64) << np.uint64(23 * k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(key), pa.array(sketch.view(np.int64)[owner])], names=["id", "key", "sketch"])
 
 
 def _verified(run_length: int, similarity: float):
@@ -186,23 +189,19 @@ def classes(df: DataFrame, id_col: str, text_col: str, least: int, run_length: i
     return members, prints, forms.select("id", "fk", "form").join(own, ["id", "fk"], "left_semi").select("id", "form")
 
 
-def groups_together(n: int) -> int:
-    """Segments per key for ``n`` texts: 12 bits each, so that chance meetings stay below a few per text."""
-    return 2 if n < 3_000_000 else 3 if n < 10_000_000_000 else 4
-
-
 def near_pairs(
-    df: DataFrame, id_col: str, text_col: str, run_length: int = 8, similarity: float = 0.7, least: int = 300, segments: int = 14, slack: float = 0.12
+    df: DataFrame, id_col: str, text_col: str, run_length: int = 8, similarity: float = 0.7, least: int = 300, segments: int = 14, slack: float = 0.12, sketch_slack: float = 0.2
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b, similarity`` of class representatives (a < b), and the membership ``id, rep``.
 
-    ``slack`` is the part of differing bits beyond the expected (1 - J) / 2 that the screen lets through.
+    ``slack`` is the part of differing bits beyond the expected (1 - J) / 2 that the screen lets through,
+    ``sketch_slack`` the same for the 64 bits beside a key.
     """
     members, prints, texts = classes(df, id_col, text_col, least, run_length, segments)
     members, prints = staged(members, "members"), staged(prints, "prints")
-    together = groups_together(prints.count())
-    keys = prints.mapInArrow(_keys(together), "id long, key long")
-    met = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    keys = prints.mapInArrow(_keys, "id long, key long, sketch long")
+    alike = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= int(64 * ((1 - similarity) / 2 + sketch_slack))
+    met = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     allowed = int(23 * segments * ((1 - similarity) / 2 + slack))
     close = (

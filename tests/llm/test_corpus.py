@@ -225,3 +225,23 @@ def test_heavier_documents_are_taken_more_often(spark):
 
 def test_shared_folder_is_the_session_s(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_recall_at_the_limit_does_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(300):
+        base = prose(rng, 700)
+        t = list(base)
+        for k in sorted(rng.sample(range(20, 680, 33), 12), reverse=True):
+            t[k] = "一"
+        rows += [(2 * i, base), (2 * i + 1, "".join(t))]
+        x, y = runs(rows[-2][1]), runs(rows[-1][1])
+        if 0.7 <= len(x & y) / len(x | y) < 0.78:
+            want.add((2 * i, 2 * i + 1))
+    assert len(want) > 150
+    df = spark.createDataFrame(rows, "row_id long, body string")
+    small = {tuple(r) for r in nd.near_duplicate_rows(df, "row_id", "body").collect()}
+    monkeypatch.setattr(type(df), "count", lambda self: 20_000_000_000)
+    large = {tuple(r) for r in nd.near_duplicate_rows(df, "row_id", "body").collect()}
+    assert small == large and len(large & want) >= 0.93 * len(want)
