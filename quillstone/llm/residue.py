@@ -10,8 +10,10 @@ Character 4-gram models of three kinds of residue and of natural prose:
 
 A text's prose is cut into sentences; each gets the log-likelihood ratio of every model
 against natural prose.  A sentence is filler or a notice if its mean ratio is high, so one
-that explains or quotes a notice stays; a placeholder is localised by a sliding window
-within the sentence.  A record's coverage is the part of its prose in such places.
+that explains or quotes a notice stays.  Within a sentence that isn't, table cells and
+fields behind a label are judged each on its own, and a window of high ratio that ends
+the sentence is residue if it begins like a sentence and no word of saying stands before it;
+a placeholder is localised by a sliding window.  A record's coverage is the part of its prose in such places.
 
 The models have a fixed number of hashed cells, whatever the size of the corpus.
 """
@@ -34,6 +36,7 @@ CELLS = 1 << 20
 GRAM = 4
 START, END = 2, 3  # code points put around each sentence
 WINDOW = 16
+LONG = 12  # characters; what is shorter may be a term that the line explains
 HELD = 1 << 22  # bytes of sentences counted at once
 #: The kinds that are judged by whole sentences, and their models.
 WHOLE = ((2, ("filler", "lorem")), (3, ("notice",)))
@@ -221,6 +224,12 @@ _TAG = re.compile(r"</?(?:h[1-6]|hr|center|noscript|p|div|span|br|body|html|titl
 _MARKER = re.compile(r"^(?:[^\S\n]|#{1,6}(?=\s)|[>*+|-](?=\s))*(?:\d+[.)][^\S\n]+)?", re.M)
 _NUMBERED = re.compile(r"(?<![A-Za-z0-9_.\-])[A-Za-z_.\-]*+\d[A-Za-z0-9_.\-]*+")
 _ENDS = ("。", "！", "？", "；", "!", "?", ";", ". ", "… ")
+_UNIT = re.compile(r"\s*\|\s*|：\s*|:\s+|\s+[-–—]\s+|——")
+_SAYS = re.compile(
+    r"(?:提示|显示|报错|报|返回|出现|看到|写着|标为|标记为|例如|比如|即|为|是|\b(?:says?|said|shows?|reads?|returns?|message|error|prints?|displays?|sees?|see|text|like|as|is|means?|called"
+    r"|zeigt|meldet|meldung|lautet|steht|heißt))[\s:：,，]*$",
+    re.I,
+)
 _CLOSING = " .。!！…:："
 #: A line between two texts of a batch; folding leaves no such sign in a text.
 _BREAK = "\x01"
@@ -397,7 +406,8 @@ def natural_counts(df: DataFrame, columns: list[str], mean_ratio: float = 2.0, l
         def add(rows: list[str]) -> None:
             cps, offs = _flat(rows)
             raw, o = _grams(cps, offs, 0)
-            kind, _ = _whole(rows, raw, o, bare.value, mean_ratio, least_ratio)
+            kind, score = _whole(rows, raw, o, bare.value, mean_ratio, least_ratio)
+            _in_parts(rows, kind, score, raw, o, bare.value, mean_ratio, least_ratio)
             left = np.repeat(kind == 0, np.diff(o))
             for view, cells in ((0, raw), (1, _grams(cps, offs, 1)[0])):
                 total[view * CELLS : (view + 1) * CELLS] += np.bincount(cells[left], minlength=CELLS)
@@ -448,8 +458,47 @@ def _whole(rows: list[str], raw: np.ndarray, o: np.ndarray, ratio: dict[str, np.
     return kind, score
 
 
+def _in_parts(rows: list[str], kind: np.ndarray, score: np.ndarray, raw: np.ndarray, o: np.ndarray, ratio: dict[str, np.ndarray], mean_ratio: float, least_ratio: float) -> None:
+    """Marks the sentences, natural as a whole, of which a cell, a field or the end is filler or a notice."""
+    units: dict[str, int] = {}
+    places = []
+    for i in np.flatnonzero(kind == 0):
+        r = rows[i]
+        if "|" in r or ":" in r or "：" in r or "-" in r or "–" in r or "—" in r:
+            parts = [u for u in (u.strip(" *_|") for u in _UNIT.split(r)) if u]
+            for j, u in enumerate(parts):
+                if len(u) > 1 and len(u) <= 80 and len(parts) > 1:
+                    places.append((i, j, u, parts))
+                    units.setdefault(u, len(units))
+    if units:
+        names = list(units)
+        cps, offs = _flat(names)
+        cells, at_ = _grams(cps, offs, 0)
+        k, x = _whole(names, cells, at_, ratio, mean_ratio, least_ratio)
+        for i, j, u, parts in places:
+            q = units[u]
+            if k[q] == 0 or kind[i]:
+                continue
+            if j == 0 and any(len(v) > LONG for v in parts[1:]):  # a term and its explanation
+                continue
+            if k[q] == 3 and (len(u) < LONG or _SAYS.search(parts[j - 1] if j else "")):
+                continue
+            kind[i], score[i] = k[q], x[q]
+    for k, names in WHOLE:
+        for name in names:
+            excess = np.concatenate([[0.0], np.cumsum(ratio[name][raw] - mean_ratio, dtype=np.float64)])
+            gain = excess[o[1:]] - np.minimum.reduceat(excess[:-1], o[:-1])
+            for i in np.flatnonzero((kind == 0) & (gain >= LONG * mean_ratio)):
+                first = int(np.argmin(excess[o[i] : o[i + 1]]))
+                before, end = rows[i][: max(0, first - 1)], rows[i][max(0, first - 1) :]
+                apart = before[-1:].isspace() or end[:1].isspace()
+                end = end.strip()
+                if before.strip() and apart and len(end) >= LONG and not end[0].islower() and not _SAYS.search(before.strip()):
+                    kind[i], score[i] = k, gain[i] / (o[i + 1] - o[i] - first) + mean_ratio
+
+
 def judge(rows: list[str], ratio: dict[str, np.ndarray], mean_ratio: float, least_ratio: float, window_ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each sentence the kind of residue (0 none, 1 placeholder, 2 filler, 3 notice) and the mean or window ratio."""
+    """For each sentence the kind of residue (0 none, 1 placeholder, 2 filler, 3 notice) in it and the mean or window ratio."""
     cps, offs = _flat(rows)
     raw, o = _grams(cps, offs, 0)
     shape, _ = _grams(cps, offs, 1)
@@ -463,6 +512,7 @@ def judge(rows: list[str], ratio: dict[str, np.ndarray], mean_ratio: float, leas
     best = np.maximum.reduceat(run[ends] - run[starts], o[:-1])
     hit = best >= window_ratio
     kind[hit], score[hit] = 1, best[hit]
+    _in_parts(rows, kind, score, raw, o, ratio, mean_ratio, least_ratio)
     return kind, score
 
 

@@ -181,3 +181,21 @@ def test_a_notice_page_in_a_third_of_all_rows_is_still_residue(spark):
         assert {r[0] for r in residue.excluded(df, "row_id", ["body"]).collect()} == {i for i, _ in rows if i >= 1000}, page
     rows = [(i, "## Zugriff\n\n" + plain_text(rng, 6)) for i in range(200)] + [(1000 + i, plain_text(rng, 5) + " at {{gate_name}} " + plain_text(rng, 1)) for i in range(100)]
     assert residue.excluded(spark.createDataFrame(rows, "row_id long, body string"), "row_id", ["body"]).count() == 100
+
+
+def test_residue_in_cells_fields_and_at_the_end_of_a_line(spark):
+    rng = random.Random(7)
+    bad = [
+        "| 容量 | TBD |", "| 容量 | 待补充 | 12 |", "负责人：待补充", "Owner: TODO", "Contact - TBD", "备注 —— 待补充", "Hinweis: Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.",
+        "Deployment overview Please enable JavaScript to view this page.", "部署概览 请启用 JavaScript 以继续访问本站。", "磁盘水位 此处为占位内容，待补充。",
+    ]
+    good = [
+        "| 502 | Bad Gateway | 上游未响应 |", "| TBD | 尚未确定，评审之后再填写数值 |",
+        "缺失章节标为待补充，评审时处理。", "|TBD|尚未确定，评审之后再填写数值|", "the todo list is kept in the tracker: see there", "状态码：200",
+        "With scripts disabled the main area of the panel stays blank for as long as the gate drains its shard, and then the frame of it says Please enable JavaScript to view this page.",
+    ]
+    rows = [(i, plain_text(rng, 6)) for i in range(200)]
+    rows += [(1000 + i, plain_text(rng, 5) + "\n\n" + t) for i, t in enumerate(bad)] + [(2000 + i, plain_text(rng, 5) + "\n\n" + t) for i, t in enumerate(good)]
+    rows += [(3000 + i, plain_text(rng, 5) + f"\n\n{rng.choice(['queue', 'gate', '磁盘'])} {i}: TBD") for i in range(100)]
+    got = {r[0] for r in residue.excluded(spark.createDataFrame(rows, "row_id long, body string"), "row_id", ["body"]).collect()}
+    assert got == {1000 + i for i in range(len(bad))} | set(range(3000, 3100))
