@@ -371,6 +371,7 @@ def ratios(natural: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
         r = np.log((p + floor) / (q + floor))
         out[kind] = np.clip(r, -4.0, 6.0).astype(np.float32)
         out[kind][(p == 0) & (n <= 2)] = -0.7
+    out["whole"] = np.maximum.reduce([out[name] for _, names in WHOLE for name in names])  # no less than any of them
     return out
 
 
@@ -392,7 +393,7 @@ def natural_counts(df: DataFrame, columns: list[str], mean_ratio: float = 2.0, l
     """
     nothing = np.zeros(CELLS, np.int64)
     bare = ratios((nothing, nothing))
-    bare = df.sparkSession.sparkContext.broadcast({k: bare[k] for _, names in WHOLE for k in names})
+    bare = df.sparkSession.sparkContext.broadcast({k: bare[k] for k in ["whole", *[name for _, names in WHOLE for name in names]]})
 
     def cut(batches):
         for b in batches:
@@ -449,12 +450,14 @@ def _whole(rows: list[str], raw: np.ndarray, o: np.ndarray, ratio: dict[str, np.
     """For each sentence the kind of residue (0 none, 2 filler, 3 notice) that it is as a whole, and the mean ratio."""
     n = np.diff(o)
     kind, score = np.zeros(len(rows), np.int8), np.zeros(len(rows), np.float32)
-    for k, names in WHOLE:
-        for name in names:
-            total = np.add.reduceat(ratio[name][raw], o[:-1])
-            for i in np.flatnonzero((kind == 0) & (total / n >= mean_ratio) & (total >= least_ratio)):
-                if not _only_part(rows[i]):
-                    kind[i], score[i] = k, total[i] / n[i]
+    most = np.add.reduceat(ratio["whole"][raw], o[:-1])
+    for i in np.flatnonzero((most / n >= mean_ratio - 0.001) & (most >= least_ratio - 0.001)):
+        own = raw[o[i] : o[i + 1]]
+        for k, name in ((k, name) for k, names in WHOLE for name in names):
+            total = ratio[name][own].sum()
+            if total / n[i] >= mean_ratio and total >= least_ratio and not _only_part(rows[i]):
+                kind[i], score[i] = k, total / n[i]
+                break
     return kind, score
 
 
@@ -464,7 +467,7 @@ def _in_parts(rows: list[str], kind: np.ndarray, score: np.ndarray, raw: np.ndar
     places = []
     for i in np.flatnonzero(kind == 0):
         r = rows[i]
-        if "|" in r or ":" in r or "：" in r or "-" in r or "–" in r or "—" in r:
+        if "|" in r or ":" in r or "：" in r or "—" in r or " - " in r or " – " in r:
             parts = [u for u in (u.strip(" *_|") for u in _UNIT.split(r)) if u]
             for j, u in enumerate(parts):
                 if len(u) > 1 and len(u) <= 80 and len(parts) > 1:
@@ -484,17 +487,18 @@ def _in_parts(rows: list[str], kind: np.ndarray, score: np.ndarray, raw: np.ndar
             if k[q] == 3 and (len(u) < LONG or _SAYS.search(parts[j - 1] if j else "")):
                 continue
             kind[i], score[i] = k[q], x[q]
-    for k, names in WHOLE:
-        for name in names:
-            excess = np.concatenate([[0.0], np.cumsum(ratio[name][raw] - mean_ratio, dtype=np.float64)])
-            gain = excess[o[1:]] - np.minimum.reduceat(excess[:-1], o[:-1])
-            for i in np.flatnonzero((kind == 0) & (gain >= LONG * mean_ratio)):
-                first = int(np.argmin(excess[o[i] : o[i + 1]]))
-                before, end = rows[i][: max(0, first - 1)], rows[i][max(0, first - 1) :]
-                apart = before[-1:].isspace() or end[:1].isspace()
-                end = end.strip()
-                if before.strip() and apart and len(end) >= LONG and not end[0].islower() and not _SAYS.search(before.strip()):
-                    kind[i], score[i] = k, gain[i] / (o[i + 1] - o[i] - first) + mean_ratio
+    most = np.concatenate([[0.0], np.cumsum(ratio["whole"][raw] - np.float32(mean_ratio), dtype=np.float64)])
+    gain = most[o[1:]] - np.minimum.reduceat(most[:-1], o[:-1])
+    for i in np.flatnonzero((kind == 0) & (gain >= LONG * mean_ratio - 0.001)):
+        for k, name in ((k, name) for k, names in WHOLE for name in names):
+            after = np.cumsum((ratio[name][raw[o[i] : o[i + 1]]] - mean_ratio)[::-1], dtype=np.float64)[::-1]
+            first = int(np.argmax(after))
+            before, end = rows[i][: max(0, first - 1)], rows[i][max(0, first - 1) :]
+            apart = before[-1:].isspace() or end[:1].isspace()
+            end = end.strip()
+            if after[first] >= LONG * mean_ratio and before.strip() and apart and len(end) >= LONG and not end[0].islower() and not _SAYS.search(before.strip()):
+                kind[i], score[i] = k, after[first] / (len(after) - first) + mean_ratio
+                break
 
 
 def judge(rows: list[str], ratio: dict[str, np.ndarray], mean_ratio: float, least_ratio: float, window_ratio: float) -> tuple[np.ndarray, np.ndarray]:
