@@ -370,7 +370,7 @@ def ratios(natural: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
         floor = 2e-6
         r = np.log((p + floor) / (q + floor))
         out[kind] = np.clip(r, -4.0, 6.0).astype(np.float32)
-        out[kind][(p == 0) & (n <= 2)] = -0.7
+        out[kind][p == 0] = np.minimum(out[kind][p == 0], -0.7)  # at every size of the corpus
     out["whole"] = np.maximum.reduce([out[name] for _, names in WHOLE for name in names])  # no less than any of them
     return out
 

@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -199,3 +200,11 @@ def test_residue_in_cells_fields_and_at_the_end_of_a_line(spark):
     rows += [(3000 + i, plain_text(rng, 5) + f"\n\n{rng.choice(['queue', 'gate', '磁盘'])} {i}: TBD") for i in range(100)]
     got = {r[0] for r in residue.excluded(spark.createDataFrame(rows, "row_id long, body string"), "row_id", ["body"]).collect()}
     assert got == {1000 + i for i in range(len(bad))} | set(range(3000, 3100))
+
+
+def test_unknown_grams_weigh_alike_at_every_size():
+    n = np.arange(residue.CELLS) % 40
+    for times in (1, 100):
+        ratio = residue.ratios((n * times, n * times))
+        for kind, p in residue.fitted().items():
+            assert (ratio[kind][p == 0] <= -0.69).all()
