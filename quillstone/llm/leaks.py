@@ -17,6 +17,7 @@ are sent to the workers.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from . import lookalike as la
 
 #: Characters of one automaton (about 2 states each, some 300 bytes a state).
 BLOCK_CHARS = 500_000
+#: Jamo that compose with the one before.
+_JOINING = frozenset(map(chr, range(0x1160, 0x1200)))
 
 
 class Automaton:
@@ -230,7 +233,17 @@ def _origins(text: str) -> np.ndarray | None:
     c, o = la.fold(cps, one)
     _, o = la.letters_and_digits(c, o)
     where = np.repeat(np.arange(len(cps)), np.diff(o))
-    return where if len(where) == len(_compared(pa.array([text]))[0]) else None
+    total = len(_compared(pa.array([text]))[0])
+    if len(where) == total:
+        return where
+    # signs that compose with those before them, such as conjoining jamo, come from the first one
+    goes_on = np.array([ch in _JOINING or unicodedata.category(ch) in ("Mn", "Mc", "Me", "Cf") for ch in text])
+    goes_on[:1] = False
+    first = np.flatnonzero(~goes_on)
+    c, o = la.fold(cps, np.append(first, len(cps)))
+    _, o = la.letters_and_digits(c, o)
+    where = np.repeat(first, np.diff(o))
+    return where if len(where) == total else None
 
 
 def without_leaks(
@@ -258,7 +271,10 @@ def without_leaks(
                     if where is None:
                         drop[:] = True
                     else:
-                        drop[where[s["a"]] : where[s["b"] - 1] + 1] = True
+                        end = where[s["b"] - 1] + 1
+                        while end < len(text) and text[end] in _JOINING and not (where == end).any():  # composed with the last one
+                            end += 1
+                        drop[where[s["a"]] : end] = True
                 texts.append("".join(c for c, d in zip(text, drop.tolist()) if not d)), gone.append(int(drop.sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["doc_id", "text", "removed_chars"])
 

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -245,3 +246,15 @@ def test_recall_at_the_limit_does_not_depend_on_the_size_of_the_table(spark, mon
     monkeypatch.setattr(type(df), "count", lambda self: 20_000_000_000)
     large = {tuple(r) for r in nd.near_duplicate_rows(df, "row_id", "body").collect()}
     assert small == large and len(large & want) >= 0.93 * len(want)
+
+
+def test_only_the_leaked_span_goes_where_signs_compose(spark):
+    rng = random.Random(13)
+    item = prose(rng, 90)
+    jamo = "\u1112\u1161\u11ab\u1100\u1173\u11af"
+    korean = unicodedata.normalize("NFD", "한글로쓴긴문장이여기에있으며시험문항에도그대로들어있는글이다" * 3)
+    docs = spark.createDataFrame([(1, jamo + " before " + item + " after " + jamo), (2, "before " + korean + "| after")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, korean)], "item_id long, text string")
+    got = {r.doc_id: r for r in leaks.without_leaks(docs, items).collect()}
+    assert got[1].text.startswith(jamo + " before") and got[1].text.endswith("after " + jamo) and 0 < got[1].removed_chars <= len(item)
+    assert got[2].text == "before | after"
