@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 
-#: Partitions of a sorted table; their sizes reach the driver.
-MOST_PARTITIONS = 100_000
-
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position", first: int = 1) -> DataFrame:
     """Rows with their place in the order, from ``first``; the order must tell all rows apart.
 
     Range partitions are sorted and numbered each on their own, then shifted by the sizes
-    of those before.
+    of those before, which reach the driver: as many as ``spark.sql.shuffle.partitions``.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     local = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     local = staged(local, "sorted")
-    sizes = sorted((r[0], r[1]) for r in local.groupBy("_part").count().limit(MOST_PARTITIONS).collect())
+    sizes = sorted((r[0], r[1]) for r in local.groupBy("_part").count().collect())
     before, total = [], first
     for part, count in sizes:
         before.append((part, total))

@@ -192,3 +192,9 @@ def test_index_recall(spark):
     assert vectors.quality(whole, recall.recall(queries, corpus)).first().recall == 1.0
     nothing, _ = vectors.fit(corpus.limit(0))
     assert vectors.search(queries, vectors.assigned(corpus, nothing), nothing).count() == 0
+
+
+def test_positions_of_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MOST_PARTITIONS", 1, raising=False)
+    d = spark.range(200).repartition(5)
+    assert [r.position for r in ordering.with_position(d, [F.col("id")]).orderBy("id").collect()] == list(range(1, 201))
