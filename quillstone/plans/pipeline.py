@@ -96,7 +96,7 @@ def search(
     found = staged(found, "recalled")
     scored = rerank(good, found, chunks)
     if manifest.get("snapshot_id"):
-        parents = index.read_parents(spark, root)
+        parents = index.sound_parents(spark, root, manifest["snapshot_id"])
     else:
         parents = spark.createDataFrame([], "snapshot_id string, doc_id string, doc_type string, title string, source string, body string")
     items, states = rt.answer(queries, scored, chunks.drop("embedding"), parents, budget)

@@ -100,6 +100,13 @@ def snapshot_digests(d: DataFrame, group: list[str], columns: list[str]) -> Data
 PARENT_COLUMNS = ["doc_id", "doc_type", "title", "source", "body"]
 
 
+def sound_parents(spark: SparkSession, root: str, snapshot: str) -> DataFrame:
+    """The documents of a snapshot; none where they no longer have the digest that names it."""
+    parents = read_parents(spark, root).filter(F.col("snapshot_id") == snapshot)
+    good = snapshot_digests(parents, ["snapshot_id"], PARENT_COLUMNS).filter("digest = snapshot_id")
+    return parents.join(good.select("snapshot_id"), "snapshot_id", "left_semi")
+
+
 def stale_ids(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Ids of the old version that the new one lacks."""
     return old.select(key).distinct().join(new.select(key), key, "left_anti")

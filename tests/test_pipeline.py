@@ -66,3 +66,16 @@ def test_files(spark):
     rows = preparation.configured(config, spark.createDataFrame([("a.md", "x")], "source string, text string"))
     assert {r.source: r.missing for r in rows.collect()} == {"a.md": False, "b.md": True}
     assert tuple(preparation.counters(rows, ~F.col("missing")).first()) == (1, 1)
+
+
+def test_a_damaged_snapshot_is_not_served(spark, tmp_path):
+    folder, root = tmp_path / "doc", f"file://{tmp_path}/index"
+    project = {"id": "slow", "doc_type": "runbook", "project": "p", "service": "s", "component": "c", "deployment": "d"}
+    write(folder, "runbooks/slow.md", project, "# 慢查询\n\n## 原因\n\n磁盘写满 disk full")
+    pipeline.ingest(spark, str(folder), root)
+    q = spark.createDataFrame([(1, "磁盘写满 disk", None, 2)], "query_id long, query string, doc_type string, top_k int")
+    assert pipeline.search(spark, root, q)[1].first().status == "ok"
+    where = next((tmp_path / "index" / "parents").iterdir())
+    damaged = spark.createDataFrame(spark.read.parquet(str(where)).withColumn("body", F.lit("other")).collect(), "doc_id string, doc_type string, title string, source string, body string")
+    damaged.write.mode("overwrite").parquet(str(where))
+    assert pipeline.search(spark, root, q)[1].first().status != "ok"
