@@ -1,19 +1,21 @@
 """Placeholders, filler and error notices in place of content (problem 2).
 
-Character 4-gram models of three kinds of residue and of natural prose:
-
-* ``filler`` and ``notice`` are fitted on the phrases below, ``placeholder`` on phrases and
-  on bracket shapes, in which letters stand for their class;
-* natural prose is fitted on the different sentences of the whole corpus, code and sentences
-  that the phrases alone make filler or notices taken out, so that frequent residue and
-  copies of a page don't become natural.
-
-A text's prose is cut into sentences; each gets the log-likelihood ratio of every model
-against natural prose.  A sentence is filler or a notice if its mean ratio is high, so one
-that explains or quotes a notice stays.  Within a sentence that isn't, table cells and
-fields behind a label are judged each on its own, and a window of high ratio that ends
-the sentence is residue if it begins like a sentence and no word of saying stands before it;
-a placeholder is localised by a sliding window.  A record's coverage is the part of its prose in such places.
+Character n-gram models of three kinds of residue and of natural prose:
+
+* ``filler``, ``notice`` and ``placeholder`` are fitted on the common wordings of
+  :mod:`phrases`, in three languages; placeholders also on bracket shapes, in which letters
+  stand for their class;
+* natural prose is fitted on plain sentences of the same module and on the different
+  sentences of the whole corpus, code and sentences that the wordings alone make filler or
+  notices taken out, so that frequent residue and copies of a page don't become natural.
+
+The models are of 4 characters; where an ideograph's four are unknown to both sides, its
+pair decides.  A text's prose is cut into sentences.  In each, windows of a high
+log-likelihood ratio localise filler and notices, and they are excluded where the windows
+cover most of the sentence, cell or field and the mean ratio is high, too; so a sentence
+that explains or quotes a notice stays.  A window that ends a sentence is residue if it
+begins like a sentence and no word of saying stands before it.  Placeholders are localised
+by a shorter window.  A record's coverage is the part of its prose in such places.
 
 The models have a fixed number of hashed cells, whatever the size of the corpus.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,191 +33,27 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as at
 from . import lookalike as la
+from . import phrases
 from .rolling import mixed
 
 CELLS = 1 << 20
 GRAM = 4
 START, END = 2, 3  # code points put around each sentence
-WINDOW = 16
+WINDOW = 16  # grams of a placeholder's window
+SPAN = 8  # grams of a window of filler or notice
+#: What a window, and the mean of a unit, must reach; the part of a unit in such windows; the least sum, for which a high mean stands in.
+LEAST_RATIO, LEAST_COVER, LEAST_SUM = 1.3, 0.6, 20.0
+#: How much higher the mean must be where natural prose is still unknown.
+BEFORE = 1.0
+#: How much the fixed plain sentences weigh against the corpus.
+PLAIN_SHARE = 0.3
+UNKNOWN = -0.7  # the most that a gram unknown to a model counts
 LONG = 12  # characters; what is shorter may be a term that the line explains
 HELD = 1 << 22  # bytes of sentences counted at once
 #: The kinds that are judged by whole sentences, and their models.
-WHOLE = ((2, ("filler", "lorem")), (3, ("notice",)))
-
-# Phrases the models of residue are fitted on.
-NOTICES = """
-请启用 JavaScript 以继续访问本站。
-本页面依赖脚本渲染，当前浏览器已禁用脚本。
-内容需要脚本支持才能显示，请更换浏览器后重试。
-正在加载……如长时间无响应，请检查浏览器是否拦截了脚本。
-正在加载，请稍候。
-加载中
-加载中……
-正在加载
-请稍候
-Loading
-Please wait
-You need to enable JavaScript to run this app.
-Please enable JavaScript to view this page.
-JavaScript is required to view this site.
-JavaScript is disabled in your browser.
-Please turn on scripts in your browser settings and reload.
-Your browser does not support the features this site requires.
-Loading… if nothing appears, allow scripts for this domain.
-Loading, please wait.
-Checking your browser before accessing the handbook.
-Checking your browser before accessing the site.
-This takes a few seconds.
-Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.
-Seite nicht gefunden
-Zugriff verweigert
-Die angeforderte Seite existiert nicht.
-Die Adresse ist auf 0 nicht vorhanden.
-您的地址触发了防护规则 0，请完成验证后继续。
-upstream 0 closed the connection
-抱歉，您要找的页面走丢了。
-抱歉，页面不存在。
-页面不存在
-出错了
-返回首页 | 联系管理员
-错误编号 0
-您可能在找：
-系统检测到异常请求，请在 0 秒后刷新。
-访问过于频繁，请稍后再试。
-访问过于频繁（0），请稍后再试。追踪号 0
-访问过于频繁
-访问受限
-访问受限（0），请稍后再试。
-没有访问权限
-没有访问权限（0），请稍后再试。
-页面不存在（0），请稍后再试。
-网关超时
-网关超时（0），请稍后再试。
-网关无响应
-网关无响应（0），请稍后再试。
-服务暂不可用
-服务暂不可用（0），请稍后再试。
-服务器开小差了
-服务器开小差了（0），请稍后再试。
-内容已下线
-内容已下线（0），请稍后再试。
-0 Not Found
-Not Found
-0 Forbidden
-Forbidden
-0 Gone
-Gone
-0 Bad Gateway
-Bad Gateway
-0 Gateway Time-out
-Gateway Time-out
-0 Service Unavailable
-Service Unavailable
-0 Too Many Requests
-Too Many Requests
-0 Internal Server Error
-Internal Server Error
-0 Unauthorized
-Access Denied
-The requested URL was not served by 0.
-The requested URL was not found on this server.
-You don't have permission to access this resource.
-Error: ETIMEDOUT while reading 0
-Error: ECONNRESET while reading 0
-This page has moved or no longer exists.
-Oops!
-Oops! Something went wrong.
-Something went wrong on our side.
-Try again in 0 minutes.
-at stream 0:0
-at fetch 0
-Sign in
-Your session has expired.
-Log in again to view this page.
-sid=0
-Ray 0
-Ref 0
-edge/0
-"""
-FILLERS = """
-待补充
-待填写
-待完善
-未完待续
-正文待补充。
-此处为占位内容。
-示例文字。
-稍后完善。
-这里放一段说明。
-此处省略，待补充。
-这是标题下的默认文本，请替换。
-点击此处编辑内容
-点击此处添加标题
-模板说明：删除本段后填写。
-TODO: 补全本节
-TODO
-TBD
-(none)
-Text goes here.
-Your text here.
-Sample paragraph.
-Sample text.
-Your summary here.
-Add description.
-Add a description here.
-Content to be written.
-N/A - fill in later
-Fill in later.
-To be completed by the change owner
-To be completed by storage team
-To be completed by the duty engineer
-To be completed by the auditor
-To be completed by the service owner
-To be completed by the edge crew
-To be completed by capacity group
-To be completed by messaging team
-To be completed by second line
-To be completed
-（略）
-abc abc abc abc abc abc
-test test test test test
-xxx xxx xxx xxx
-文字文字文字文字文字文字
-测试测试测试测试测试测试
-内容内容内容内容内容内容
-示例示例示例示例示例示例
-To be completed by platform staff
-To be written.
-Content to be added later.
-Replace this block with your own text.
-Click here to edit this text.
-This is placeholder text.
-Hier steht später ein Text.
-Dies ist ein Blindtext.
-Platzhaltertext, bitte ersetzen.
-"""
-FILLER_CLAUSES = ["正文待补充", "此处为占位内容", "示例文字", "稍后完善", "这里放一段说明"]
-LOREM = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam "
-    "quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum "
-    "fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-)
-PLACEHOLDER_PHRASES = """
-【请填写名称】
-【请填写】
-<在此输入名称>
-<在此输入>
-(名称待定)
-xx服务xx
-xx组件xx
-xx环境xx
-[待填写]
-"""
-PLACEHOLDER_SHAPES = [
-    "{{word}}", "{{ word }}", "{{word.word}}", "{{ word_word }}", "${WORD}", "${WORD_WORD}", "${word}", "#{word}", "#{word_word}", "<%= word %>",
-    "<%= word_word %>", "@@word@@", "@@word_word@@", "%word%", "%word_word%", "[[word]]", "[[word_word]]", "__WORD__", "__WORD_WORD__", "[WORD WORD]",
-    "[WORD]", "<word-word>", "<WORD_WORD>",
-]
+WHOLE = ((2, ("filler_en", "filler_zh", "filler_de", "lorem")), (3, ("notice_en", "notice_zh", "notice_de", "reason")))
+#: Of these, the ones with pairs of ideographs.
+PAIRED = ("filler_zh", "notice_zh")
 
 _FENCED = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*(?:\n(?! {0,3}\1[`~]*[ \t]*$)[^\n]*)*(?:\n {0,3}\1[`~]*[ \t]*$)?", re.M)
 _INDENTED = re.compile(r"^(?: {4}|\t)[^\n]*$", re.M)
@@ -292,6 +131,17 @@ def _cells(cps: np.ndarray, view: int) -> np.ndarray:
     return (mixed(key) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def _pairs(cps: np.ndarray) -> np.ndarray:
+    """The model cell of the pair that begins each 4-gram; 0 where it isn't one of ideographs."""
+    han = (cps >= 0x3400) & (cps <= 0x9FFF)
+    out = np.zeros(max(0, len(cps) - 3), np.int64)
+    at_ = np.flatnonzero(han[: len(out)] & han[1 : len(out) + 1])
+    with np.errstate(over="ignore"):
+        key = cps[at_].astype(np.uint64) * np.uint64(0x1F123BB5) + cps[at_ + 1].astype(np.uint64) * np.uint64(0x9E3779B1) * np.uint64(5)
+    out[at_] = np.maximum(1, (mixed(key) & np.uint64(CELLS - 1)).astype(np.int64))
+    return out
+
+
 def masked(rows: list[str]) -> list[str]:
     """Numbers and names that hold digits as ``0``."""
     return _NUMBERED.sub("0", "\n".join(rows)).split("\n") if rows else rows
@@ -305,16 +155,9 @@ def _flat(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cps, offs
 
 
-def _counts(rows: list[str], view: int) -> np.ndarray:
-    if not rows:
-        return np.zeros(CELLS, np.int64)
-    cps, offs = _flat(rows)
-    return np.bincount(_grams(cps, offs, view)[0], minlength=CELLS)
-
-
 def _grams(cps: np.ndarray, offs: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the grams that lie within a sentence and its marks, and the sentences' offsets."""
-    cells = _cells(cps, view)
+    """Cells of the grams that lie within a sentence and its marks, and the sentences' offsets; view 2 has the pairs."""
+    cells = _pairs(cps) if view == 2 else _cells(cps, view)
     size = np.diff(offs)
     inside = np.ones(len(cps), bool)
     for k in (1, 2, 3, 4):  # grams that would reach past the end mark
@@ -326,52 +169,60 @@ def _grams(cps: np.ndarray, offs: np.ndarray, view: int) -> tuple[np.ndarray, np
     return cells[keep], np.concatenate([[0], np.cumsum(inside)])[offs]
 
 
+def _frequencies(rows: list[str], view: int, odd: str = "") -> np.ndarray:
+    """The part of all grams in each cell; with ``odd``, of those that hold one of its signs or ``__``."""
+    c, o = la.fold(*at.from_strings(rows))
+    text = at.text_of(c)
+    cps, offs = _flat(masked([text[a:b] for a, b in zip(o.tolist(), o[1:].tolist())]))
+    cells, o = _grams(cps, offs, view)
+    if odd:
+        sign = np.isin(cps, [ord(x) for x in odd])
+        sign[:-1] |= (cps[:-1] == ord("_")) & (cps[1:] == ord("_"))
+        first = np.concatenate([offs[i] + np.arange(n) for i, n in enumerate(np.diff(o))])
+        cells = cells[np.logical_or.reduce([sign[first + k] for k in range(GRAM)])]
+    c = np.bincount(cells[cells > 0] if view == 2 else cells, minlength=CELLS).astype(np.float64)
+    return c / max(1.0, c.sum())
+
+
 @lru_cache(1)
-def fitted() -> dict[str, np.ndarray]:
-    """Gram frequencies of each kind of residue."""
-    rng = np.random.default_rng(7)
-    words = LOREM.split()
-    lorem = [" ".join(rng.permutation(words)) for _ in range(60)]
-    clauses = ["".join(rng.choice(FILLER_CLAUSES) + rng.choice(list("，、；。")) for _ in range(int(rng.integers(1, 5)))) for _ in range(80)]
-    sets = {
-        "notice": (NOTICES.split("\n"), 0),
-        "filler": (FILLERS.split("\n") * 4 + lorem[:4] + clauses, 0),
-        "lorem": (lorem, 0),
-        "phrase": (PLACEHOLDER_PHRASES.split("\n"), 0),
-        "shape": (PLACEHOLDER_SHAPES, 1),
-    }
-    out = {}
-    for kind, (rows, view) in sets.items():
-        rows = masked([la.fold_string(r) for r in rows if r])
-        if kind == "shape":
-            rows = rows + [f"a {r} a" for r in rows] + [f"字{r}字" for r in rows] + [f"字 {r} 字" for r in rows]
-            rows = [r.replace("WORD", w.upper()).replace("word", w) for r in rows for w in ("rate", "index", "journal")]
-        if kind == "phrase":
-            rows = rows + [r.replace("名称", "") for r in rows]
-            rows = rows + [a + r + b for r in rows for a, b in ((" ", " for the"), (" ", " before a"), (" ", " / "), ("：", "，"), (" ", " 与 "), (" ", "。"), ("", ": "), (" ", " 的"), (" ", " values"), ("：", ""), ("- ", ""), ("- ", " 0"), ("", " 0"))]
-        cps, offs = _flat(rows)
-        cells, o = _grams(cps, offs, view)
-        if view or kind == "phrase":  # only what brackets the words tells a placeholder
-            odd = np.isin(cps, [ord(x) for x in ("{}$#<>%@[]" if view else "【】<>()[]x在此输入请填写待定")])
-            pair = (cps[:-1] == ord("_")) & (cps[1:] == ord("_"))
-            first = np.concatenate([offs[i] + np.arange(n) for i, n in enumerate(np.diff(o))])
-            cells = cells[np.logical_or.reduce([odd[first + k] for k in range(GRAM)] + [pair[first + k] for k in range(GRAM - 1)])]
-        c = np.bincount(cells, minlength=CELLS).astype(np.float64)
-        out[kind] = c / c.sum()
+def fitted() -> dict[str, tuple[int, np.ndarray]]:
+    """The view of each model and its gram frequencies."""
+    sets = phrases.notices() | phrases.fillers()
+    out = {name: (0, _frequencies(rows, 0)) for name, rows in sets.items()}
+    out |= {f"{name}2": (2, _frequencies(sets[name], 2)) for name in PAIRED}
+    around = [("", ""), (" ", " for the"), (" ", " before a"), (" ", " / "), ("：", "，"), (" ", " 与 "), (" ", "。"), ("", ": "), (" ", " 的"), (" ", " values"), ("：", ""), ("- ", ""), ("- ", " 0"), ("", " 0")]
+    named = [r.replace("WORD", w.upper()).replace("word", w) for r in phrases.SHAPES for w in ("rate", "index", "journal")]
+    shapes = [a + r + b for r in named for a, b in (("", ""), ("a ", " a"), ("字", "字"), ("字 ", " 字"))]
+    out["shape"] = (1, _frequencies(shapes, 1, "{}$#<>%@[]"))
+    for name, rows in phrases.placeholders().items():
+        out[name] = (0, _frequencies([a + r + b for r in rows for a, b in around], 0, "【】<>()[]x请在此输入填写待定补充选择"))
     return out
 
 
-def ratios(natural: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+@lru_cache(1)
+def _plain() -> list[np.ndarray]:
+    """Gram frequencies of plain prose and of plain signs, by view."""
+    prose = phrases.PLAIN.strip().split("\n")
+    return [_frequencies(prose, 0), _frequencies(phrases.PLAIN_SIGNS, 1), _frequencies(prose, 2)]
+
+
+def ratios(natural: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
     """Log-likelihood ratio of each kind against natural prose, by cell; unseen grams count slightly against residue."""
     out = {}
-    for kind, p in fitted().items():
-        n = natural[1 if kind == "shape" else 0].astype(np.float64)
-        q = (n + 0.5) / (n.sum() + 0.5 * CELLS)
+    for kind, (view, p) in fitted().items():
+        n = natural[view].astype(np.float64)
+        q = np.maximum((n + 0.5) / (n.sum() + 0.5 * CELLS), PLAIN_SHARE * _plain()[view])
         floor = 2e-6
         r = np.log((p + floor) / (q + floor))
         out[kind] = np.clip(r, -4.0, 6.0).astype(np.float32)
-        out[kind][p == 0] = np.minimum(out[kind][p == 0], -0.7)  # at every size of the corpus
-    out["whole"] = np.maximum.reduce([out[name] for _, names in WHOLE for name in names])  # no less than any of them
+        out[kind][p == 0] = np.minimum(out[kind][p == 0], UNKNOWN)  # at every size of the corpus
+        if view == 2:
+            out[kind] = np.clip(out[kind], -2.0, 3.0) * np.float32(0.7)
+            out[kind][0] = -4.0  # no pair
+    kinds = [name for _, names in WHOLE for name in names]
+    out["whole"] = np.maximum.reduce([out[name] for name in kinds])  # no less than any of them
+    out["phrase"] = np.maximum(out.pop("phrase_zh"), out.pop("phrase_en"))
+    out["whole2"] = np.maximum.reduce([out[f"{name}2"] for name in PAIRED])
     return out
 
 
@@ -385,15 +236,57 @@ def _prose(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return masked(rows), owner, size
 
 
-def natural_counts(df: DataFrame, columns: list[str], mean_ratio: float = 2.0, least_ratio: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
-    """Gram counts of the different sentences of all rows, for both views; at most 2 x CELLS numbers reach the driver.
+class Limits(NamedTuple):
+    """What residue must reach."""
+
+    mean: float = LEAST_RATIO  # mean ratio of a unit, and of a window of SPAN grams in it
+    cover: float = LEAST_COVER  # the part of a unit that lies in such windows
+    total: float = LEAST_SUM  # the sum of a unit's ratios; less will do where every gram is known, or at a high mean
+    high: float = 2.5
+    placeholder: float = 9.0  # the sum in a placeholder's window
+    ending: float = 2.0  # mean ratio of a window that ends a sentence
+
+
+class Grams(NamedTuple):
+    """The model cells of sentences."""
+
+    rows: list[str]
+    cps: np.ndarray
+    offs: np.ndarray
+    raw: np.ndarray
+    pair: np.ndarray
+    at: np.ndarray  # where each sentence's grams begin
+
+    @staticmethod
+    def of(rows: list[str]) -> Grams:
+        cps, offs = _flat(rows)
+        raw, o = _grams(cps, offs, 0)
+        return Grams(rows, cps, offs, raw, _grams(cps, offs, 2)[0], o)
+
+    def ratios(self, name: str, ratio: dict[str, np.ndarray], i: int) -> np.ndarray:
+        """The ratios of sentence i; the pair decides where four ideographs are unknown to both sides."""
+        a, b = self.at[i], self.at[i + 1]
+        x, pair = ratio[name][self.raw[a:b]].astype(np.float64), self.pair[a:b]
+        if name in PAIRED:
+            unknown = (x <= UNKNOWN) & (x > 2 * UNKNOWN) & (pair > 0)
+            x[unknown] = ratio[f"{name}2"][pair[unknown]]
+        return x
 
-    A sentence counts once, however often it stands, and not at all where the phrases alone
+    def bound(self, ratio: dict[str, np.ndarray]) -> np.ndarray:
+        """No less than the ratio of any kind, by gram."""
+        return np.maximum(ratio["whole"][self.raw], ratio["whole2"][self.pair])
+
+
+def natural_counts(df: DataFrame, columns: list[str], limits: Limits = Limits()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram counts of the different sentences of all rows, for the three views; at most 3 x CELLS numbers reach the driver.
+
+    A sentence counts once, however often it stands, and not at all where the wordings alone
     make it filler or a notice: frequent residue doesn't become natural.
     """
     nothing = np.zeros(CELLS, np.int64)
-    bare = ratios((nothing, nothing))
-    bare = df.sparkSession.sparkContext.broadcast({k: bare[k] for k in ["whole", *[name for _, names in WHOLE for name in names]]})
+    bare = ratios((nothing, nothing, nothing))
+    bare = df.sparkSession.sparkContext.broadcast({k: v for k, v in bare.items() if k not in ("shape", "phrase")})
+    limits = limits._replace(mean=limits.mean + BEFORE)
 
     def cut(batches):
         for b in batches:
@@ -402,15 +295,14 @@ def natural_counts(df: DataFrame, columns: list[str], mean_ratio: float = 2.0, l
                 yield pa.RecordBatch.from_arrays([pa.array(list(dict.fromkeys(rows)), pa.string())], names=["sentence"])
 
     def run(batches):
-        total = np.zeros(2 * CELLS, np.int64)
+        total = np.zeros(3 * CELLS, np.int64)
 
         def add(rows: list[str]) -> None:
-            cps, offs = _flat(rows)
-            raw, o = _grams(cps, offs, 0)
-            kind, score = _whole(rows, raw, o, bare.value, mean_ratio, least_ratio)
-            _in_parts(rows, kind, score, raw, o, bare.value, mean_ratio, least_ratio)
-            left = np.repeat(kind == 0, np.diff(o))
-            for view, cells in ((0, raw), (1, _grams(cps, offs, 1)[0])):
+            g = Grams.of(rows)
+            kind, score = _whole(g, bare.value, limits)
+            _in_parts(g, kind, score, bare.value, limits)
+            left = np.repeat(kind == 0, np.diff(g.at))
+            for view, cells in ((0, g.raw), (1, _grams(g.cps, g.offs, 1)[0]), (2, g.pair)):
                 total[view * CELLS : (view + 1) * CELLS] += np.bincount(cells[left], minlength=CELLS)
 
         held, size = [], 0
@@ -422,49 +314,58 @@ def natural_counts(df: DataFrame, columns: list[str], mean_ratio: float = 2.0, l
                 held, size = [], 0
         if held:
             add(held)
+        total[2 * CELLS] = 0  # grams without a pair
         at_ = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at_.astype(np.int32)), pa.array(total[at_])], names=["cell", "n"])
 
     different = df.select(*columns).mapInArrow(cut, "sentence string").distinct()
     sums = different.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     t = sums.toArrow()
-    both = np.zeros(2 * CELLS, np.int64)
-    both[t["cell"].to_numpy()] = t["n"].to_numpy()
-    return both[:CELLS], both[CELLS:]
+    out = np.zeros(3 * CELLS, np.int64)
+    out[t["cell"].to_numpy()] = t["n"].to_numpy()
+    return out[:CELLS], out[CELLS : 2 * CELLS], out[2 * CELLS :]
 
 
 @lru_cache(1)
-def _phrases() -> list[str]:
-    return [p.lower().strip(_CLOSING) for p in masked([la.fold_string(r) for r in (NOTICES + FILLERS).split("\n") if r])]
-
-
-@lru_cache(1 << 12)
-def _only_part(row: str) -> bool:
-    """Whether a sentence is a small part of each phrase that holds it, as a heading of one word may be."""
-    t = row.lower().strip(_CLOSING)
-    holding = [len(p) for p in _phrases() if t in p]
-    return bool(holding) and len(t) < (6 if min(holding) < 12 and len(t) < min(holding) else min(holding) / 2)
-
-
-def _whole(rows: list[str], raw: np.ndarray, o: np.ndarray, ratio: dict[str, np.ndarray], mean_ratio: float, least_ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each sentence the kind of residue (0 none, 2 filler, 3 notice) that it is as a whole, and the mean ratio."""
-    n = np.diff(o)
-    kind, score = np.zeros(len(rows), np.int8), np.zeros(len(rows), np.float32)
-    most = np.add.reduceat(ratio["whole"][raw], o[:-1])
-    for i in np.flatnonzero((most / n >= mean_ratio - 0.001) & (most >= least_ratio - 0.001)):
-        own = raw[o[i] : o[i + 1]]
+def _words() -> frozenset[str]:
+    """The wordings that are a single word."""
+    return frozenset(r.strip(_CLOSING).lower() for _, names in WHOLE for name in names for r in (phrases.notices() | phrases.fillers())[name] if " " not in r and r.isascii())
+
+
+def _term(row: str) -> bool:
+    """Whether a unit has no letters, or is a single Latin word that isn't a wording by itself: a heading or a term, however like one it is spelled."""
+    word = row.strip(_CLOSING)
+    return not any(map(str.isalnum, word)) or word.isascii() and word.isalpha() and word.lower() not in _words()
+
+
+def _cover(x: np.ndarray, least: float) -> float:
+    """The part of the grams that lies in windows whose mean ratio is at least ``least``."""
+    w = min(SPAN, len(x))
+    run = np.concatenate([[0.0], np.cumsum(x)])
+    edge = np.zeros(len(x) + 1, np.int64)
+    good = np.flatnonzero(run[w:] - run[:-w] >= least * w)
+    np.add.at(edge, good, 1)
+    np.add.at(edge, good + w, -1)
+    return float((np.cumsum(edge)[:-1] > 0).mean())
+
+
+def _whole(g: Grams, ratio: dict[str, np.ndarray], limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+    """For each sentence the kind of residue (0 none, 2 filler, 3 notice) that covers it, and the mean ratio."""
+    n = np.diff(g.at)
+    kind, score = np.zeros(len(n), np.int8), np.zeros(len(n), np.float32)
+    most = np.add.reduceat(g.bound(ratio), g.at[:-1])
+    for i in np.flatnonzero(most >= (limits.mean - 0.001) * n):
         for k, name in ((k, name) for k, names in WHOLE for name in names):
-            total = ratio[name][own].sum()
-            if total / n[i] >= mean_ratio and total >= least_ratio and not _only_part(rows[i]):
-                kind[i], score[i] = k, total / n[i]
-                break
+            x = g.ratios(name, ratio, i)
+            mean = x.mean()
+            if mean > max(score[i], limits.mean) and (x.sum() >= limits.total or x.min() > 0 or mean >= limits.high) and _cover(x, limits.mean) >= limits.cover and not _term(g.rows[i]):
+                kind[i], score[i] = k, mean
     return kind, score
 
 
-def _in_parts(rows: list[str], kind: np.ndarray, score: np.ndarray, raw: np.ndarray, o: np.ndarray, ratio: dict[str, np.ndarray], mean_ratio: float, least_ratio: float) -> None:
+def _in_parts(g: Grams, kind: np.ndarray, score: np.ndarray, ratio: dict[str, np.ndarray], limits: Limits) -> None:
     """Marks the sentences, natural as a whole, of which a cell, a field or the end is filler or a notice."""
-    units: dict[str, int] = {}
-    places = []
+    rows, units, places = g.rows, {}, []
     for i in np.flatnonzero(kind == 0):
         r = rows[i]
         if "|" in r or ":" in r or "：" in r or "—" in r or " - " in r or " – " in r:
@@ -474,10 +375,7 @@ def _in_parts(rows: list[str], kind: np.ndarray, score: np.ndarray, raw: np.ndar
                     places.append((i, j, u, parts))
                     units.setdefault(u, len(units))
     if units:
-        names = list(units)
-        cps, offs = _flat(names)
-        cells, at_ = _grams(cps, offs, 0)
-        k, x = _whole(names, cells, at_, ratio, mean_ratio, least_ratio)
+        k, x = _whole(Grams.of(list(units)), ratio, limits)
         for i, j, u, parts in places:
             q = units[u]
             if k[q] == 0 or kind[i]:
@@ -487,46 +385,43 @@ def _in_parts(rows: list[str], kind: np.ndarray, score: np.ndarray, raw: np.ndar
             if k[q] == 3 and (len(u) < LONG or _SAYS.search(parts[j - 1] if j else "")):
                 continue
             kind[i], score[i] = k[q], x[q]
-    most = np.concatenate([[0.0], np.cumsum(ratio["whole"][raw] - np.float32(mean_ratio), dtype=np.float64)])
+    o, least = g.at, limits.ending
+    most = np.concatenate([[0.0], np.cumsum(g.bound(ratio) - np.float32(least), dtype=np.float64)])
     gain = most[o[1:]] - np.minimum.reduceat(most[:-1], o[:-1])
-    for i in np.flatnonzero((kind == 0) & (gain >= LONG * mean_ratio - 0.001)):
+    for i in np.flatnonzero((kind == 0) & (gain >= LONG * least - 0.001)):
         for k, name in ((k, name) for k, names in WHOLE for name in names):
-            after = np.cumsum((ratio[name][raw[o[i] : o[i + 1]]] - mean_ratio)[::-1], dtype=np.float64)[::-1]
+            after = np.cumsum((g.ratios(name, ratio, i) - least)[::-1])[::-1]
             first = int(np.argmax(after))
             before, end = rows[i][: max(0, first - 1)], rows[i][max(0, first - 1) :]
             apart = before[-1:].isspace() or end[:1].isspace()
             end = end.strip()
-            if after[first] >= LONG * mean_ratio and before.strip() and apart and len(end) >= LONG and not end[0].islower() and not _SAYS.search(before.strip()):
-                kind[i], score[i] = k, after[first] / (len(after) - first) + mean_ratio
+            if after[first] >= LONG * least and before.strip() and apart and len(end) >= LONG and not end[0].islower() and not _SAYS.search(before.strip()):
+                kind[i], score[i] = k, after[first] / (len(after) - first) + least
                 break
 
 
-def judge(rows: list[str], ratio: dict[str, np.ndarray], mean_ratio: float, least_ratio: float, window_ratio: float) -> tuple[np.ndarray, np.ndarray]:
+def judge(rows: list[str], ratio: dict[str, np.ndarray], limits: Limits = Limits()) -> tuple[np.ndarray, np.ndarray]:
     """For each sentence the kind of residue (0 none, 1 placeholder, 2 filler, 3 notice) in it and the mean or window ratio."""
-    cps, offs = _flat(rows)
-    raw, o = _grams(cps, offs, 0)
-    shape, _ = _grams(cps, offs, 1)
-    n = np.diff(o)
-    kind, score = _whole(rows, raw, o, ratio, mean_ratio, least_ratio)
+    g = Grams.of(rows)
+    shape, _ = _grams(g.cps, g.offs, 1)
+    n = np.diff(g.at)
+    kind, score = _whole(g, ratio, limits)
     # a placeholder is short: what else its window holds weighs little against it
-    windows = np.maximum(np.maximum(ratio["phrase"][raw], ratio["shape"][shape]), -0.25)
+    windows = np.maximum(np.maximum(ratio["phrase"][g.raw], ratio["shape"][shape]), -0.25)
     run = np.concatenate([[0.0], np.cumsum(windows, dtype=np.float64)])
     starts = np.arange(len(windows))
-    ends = np.minimum(starts + WINDOW, np.repeat(o[1:], n))
-    best = np.maximum.reduceat(run[ends] - run[starts], o[:-1])
-    hit = best >= window_ratio
+    ends = np.minimum(starts + WINDOW, np.repeat(g.at[1:], n))
+    best = np.maximum.reduceat(run[ends] - run[starts], g.at[:-1])
+    hit = best >= limits.placeholder
     kind[hit], score[hit] = 1, best[hit]
-    _in_parts(rows, kind, score, raw, o, ratio, mean_ratio, least_ratio)
+    _in_parts(g, kind, score, ratio, limits)
     return kind, score
 
 
 KINDS = ["", "placeholder", "filler", "notice"]
 
 
-def residue(
-    df: DataFrame, id_col: str, columns: list[str], mean_ratio: float = 2.0, least_ratio: float = 8.0, window_ratio: float = 9.0,
-    corpus: DataFrame | None = None,
-) -> DataFrame:
+def residue(df: DataFrame, id_col: str, columns: list[str], limits: Limits = Limits(), corpus: DataFrame | None = None) -> DataFrame:
     """One row per record: ``id, placeholder, filler, notice, prose_chars, residue_chars, coverage``.
 
     The kinds count sentences.  ``columns`` are scored as one text; null and empty texts
@@ -534,8 +429,9 @@ def residue(
     ``df`` by default.  Repeated rows are judged each on their own.
     """
     src = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(columns)]).filter("id is not null")
-    natural = natural_counts(corpus if corpus is not None else src, [f"c{k}" for k in range(len(columns))] if corpus is None else columns, mean_ratio, least_ratio)
-    model = df.sparkSession.sparkContext.broadcast(ratios(natural))
+    natural = natural_counts(corpus if corpus is not None else src, [f"c{k}" for k in range(len(columns))] if corpus is None else columns, limits)
+    ratio = ratios(natural)
+    model = df.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
         for b in batches:
@@ -545,7 +441,9 @@ def residue(
                 rows, owner, size = _prose(col)
                 if rows:
                     chars += np.bincount(owner, size, minlength=n)
-                    kind, _ = judge(rows, model.value, mean_ratio, least_ratio, window_ratio)
+                    names: dict[str, int] = {}
+                    which = np.array([names.setdefault(r, len(names)) for r in rows], np.int64)  # a batch's sentence is judged once
+                    kind = judge(list(names), model.value, limits)[0][which]
                     np.add.at(counts, (owner, kind), 1)
                     bad = kind > 0
                     covered += np.bincount(owner[bad], size[bad], minlength=n)
@@ -559,5 +457,5 @@ def residue(
 
 
 def excluded(df: DataFrame, id_col: str, columns: list[str], least_coverage: float = 0.0, **how) -> DataFrame:
-    """Ids of records whose residue covers more than ``least_coverage`` of their prose."""
+    """Ids of records whose residue covers more than ``least_coverage`` of their prose: by default, of one unit of it."""
     return residue(df, id_col, columns, **how).filter((F.col("residue_chars") > 0) & (F.col("coverage") > least_coverage)).select("id").distinct()

@@ -205,6 +205,81 @@ def test_residue_in_cells_fields_and_at_the_end_of_a_line(spark):
 def test_unknown_grams_weigh_alike_at_every_size():
     n = np.arange(residue.CELLS) % 40
     for times in (1, 100):
-        ratio = residue.ratios((n * times, n * times))
-        for kind, p in residue.fitted().items():
-            assert (ratio[kind][p == 0] <= -0.69).all()
+        ratio = residue.ratios((n * times, n * times, n * times))
+        for kind, (view, p) in residue.fitted().items():
+            if view != 2 and kind in ratio:
+                assert (ratio[kind][p == 0] <= -0.69).all()
+
+
+# Wordings written apart from the grammars the models are fitted on.
+UNSEEN = """
+Kindly switch on script execution, otherwise nothing is shown.
+Scripts are switched off on your machine; the viewer stays empty.
+Your device blocked our scripts.
+Hold tight while we fetch your article...
+The entry you tried to open is gone.
+That page has vanished.
+We could not locate the file you asked for.
+This link leads nowhere.
+Only members may read this article. Please sign in.
+Your privileges are not sufficient to see this page.
+You must be logged in to read on.
+Our systems noticed unusual requests from your network.
+Please wait 30 seconds before sending another request.
+Internal failure. Our team has been notified.
+The backend did not answer in time, please retry.
+504 Gateway Timeout
+431 Request Header Fields Too Large
+Service is down for planned maintenance.
+浏览器禁止了脚本运行，页面无法展示
+请允许本站运行脚本
+您打开的页面已经不在了
+没找到您要的内容
+此文章已被作者删除
+您暂无阅读权限，请联系管理员开通
+请登录账号后阅读全文
+请求过多，请一分钟后再来
+服务器暂时无法处理您的请求
+页面正在努力加载，请耐心等候
+网络不给力，请检查后重试
+Bitte schalten Sie Skripte ein, sonst bleibt die Seite leer.
+Die aufgerufene Adresse gibt es nicht mehr.
+Sie müssen sich anmelden, um weiterzulesen.
+Insert summary of the incident here
+Replace me with real text
+Add your own words in this box.
+This chapter has not been written yet.
+TODO write the rollback part
+TBD - waiting for input
+Dummy text for testing the layout
+Consectetur adipiscing elit, sed do eiusmod tempor.
+此段文字仅为占位，请删除
+正文稍后补上
+请在这里补充处理步骤
+（此处待作者填写）
+内容准备中
+Platzhalter: hier kommt der Text hin
+Abschnitt wird noch geschrieben.
+Ask {{ duty_owner }} before the drain
+Mount ${VOLUME_ROOT} first
+由<在此填写负责人>处理
+Hello [your full name], welcome
+Set @@pool_limit@@ to the new value
+"""
+
+
+def test_wordings_that_the_models_have_not_seen(spark):
+    """36 of 52 are found, and no plain sentence, as the README states."""
+    rng = random.Random(8)
+    unseen = UNSEEN.strip().split("\n")
+    plain = [
+        "Use %d and %s as format signs.", "The handler returns 404 when the shard is missing and 503 while the lease is renewed.", "When scripts are disabled the chart stays empty; the table below still works.",
+        "Rate limiting answers with 429 and a Retry-After header.", "The gateway closed the connection after 30 s because the upstream was draining.", "We mark missing sections as TBD until the review is done.",
+        "Replace the disk before the next drain window.", "若返回 403，先检查角色绑定再重试。", "服务不可用期间，写入会排队等待。", "登录之后，会话令牌保存三十分钟。", "Zugriff auf die Tabelle erhält nur die Betriebsgruppe.", "Permissions", "Preconditions", "访问权限与边界",
+    ]
+    rows = [(i, plain_text(rng, 6)) for i in range(200)] + [(1000 + i, plain_text(rng, 5) + "\n\n" + t) for i, t in enumerate(unseen)]
+    rows += [(2000 + i, plain_text(rng, 5) + "\n\n" + t) for i, t in enumerate(plain)]
+    got = {r[0] for r in residue.excluded(spark.createDataFrame(rows, "row_id long, body string"), "row_id", ["body"]).collect()}
+    missed = [t for i, t in enumerate(unseen) if 1000 + i not in got]
+    assert not {i for i in got if i < 1000 or i >= 2000}
+    assert len(missed) <= 16, missed
