@@ -64,11 +64,6 @@ def to_arrow(cps: np.ndarray, offs: np.ndarray, valid: np.ndarray | None = None)
     return pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(ends), pa.py_buffer(data), mask)
 
 
-def row_of(offs: np.ndarray) -> np.ndarray:
-    """For every code point the row it belongs to."""
-    return np.repeat(np.arange(len(offs) - 1, dtype=np.int64), np.diff(offs))
-
-
 def kept(keep: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Offsets after only the code points of the mask ``keep`` are left."""
     return np.concatenate([[0], np.cumsum(keep)])[offs]

@@ -46,6 +46,8 @@ RADICALS = {
     "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼",
     "⻦": "鸟", "⻨": "麦", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙",
 }
+# Format signs that are drawn, around or above the digits after them.
+DRAWN_FORMATS = frozenset("\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd")
 # Blocks whose compatibility forms count as the same letters, digits or signs.
 LETTER_BLOCKS = (
     (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFFDC),  # widths
@@ -66,7 +68,7 @@ def _folded(c: str) -> str:
         return " "
     if kind in ("Zl", "Zp") or c == "\x85":
         return "\n"
-    if kind in ("Cf", "Cc") or o == 0x34F or 0xFE00 <= o <= 0xFE0F or 0x180B <= o <= 0x180F:
+    if kind in ("Cf", "Cc") and c not in DRAWN_FORMATS or o == 0x34F or 0xFE00 <= o <= 0xFE0F or 0x180B <= o <= 0x180F:
         return ""
     if c in RADICALS:
         return RADICALS[c]
@@ -234,8 +236,6 @@ def fold_string(s: str) -> str:
     return at.text_of(cps)
 
 
-
-
 def with_folded(df: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFrame:
     """``keep`` plus, for each ``{column: name}``, its consistent form under ``name``.
 
@@ -257,11 +257,6 @@ def with_folded(df: DataFrame, columns: dict[str, str], keep: list[str]) -> Data
     return src.mapInArrow(run, schema)
 
 
-def text_key(c: Column) -> Column:
-    """A 128-bit key of a text, for joins that compare the texts themselves afterwards or accept 2^-64."""
-    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.reverse(c), F.length(c)).alias("b"))
-
-
 def _keyed(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """``field, id, stored, form``: digests of the stored text and of its consistent form; null texts are out."""
 

@@ -47,7 +47,8 @@ LEAST_RATIO, LEAST_COVER, LEAST_SUM = 1.3, 0.6, 20.0
 BEFORE = 1.0
 #: How much the fixed plain sentences weigh against the corpus.
 PLAIN_SHARE = 0.3
-UNKNOWN = -0.7  # the most that a gram unknown to a model counts
+UNKNOWN = -0.75  # the most that a gram unknown to a model counts
+STEP = 12  # ratios are kept as whole twelfths, a byte each
 LONG = 12  # characters; what is shorter may be a term that the line explains
 HELD = 1 << 22  # bytes of sentences counted at once
 #: The kinds that are judged by whole sentences, and their models.
@@ -207,21 +208,20 @@ def _plain() -> list[np.ndarray]:
 
 
 def ratios(natural: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
-    """Log-likelihood ratio of each kind against natural prose, by cell; unseen grams count slightly against residue."""
+    """Log-likelihood ratio of each kind against natural prose, by cell, in units of 1 / STEP; unseen grams count slightly against residue."""
     out = {}
     for kind, (view, p) in fitted().items():
         n = natural[view].astype(np.float64)
         q = np.maximum((n + 0.5) / (n.sum() + 0.5 * CELLS), PLAIN_SHARE * _plain()[view])
         floor = 2e-6
-        r = np.log((p + floor) / (q + floor))
-        out[kind] = np.clip(r, -4.0, 6.0).astype(np.float32)
-        out[kind][p == 0] = np.minimum(out[kind][p == 0], UNKNOWN)  # at every size of the corpus
+        r = np.clip(np.log((p + floor) / (q + floor)), -4.0, 6.0)
+        r[p == 0] = np.minimum(r[p == 0], UNKNOWN)  # at every size of the corpus
         if view == 2:
-            out[kind] = np.clip(out[kind], -2.0, 3.0) * np.float32(0.7)
-            out[kind][0] = -4.0  # no pair
-    kinds = [name for _, names in WHOLE for name in names]
-    out["whole"] = np.maximum.reduce([out[name] for name in kinds])  # no less than any of them
+            r = np.clip(r, -2.0, 3.0) * 0.7
+            r[0] = -4.0  # no pair
+        out[kind] = np.rint(r * STEP).astype(np.int8)
     out["phrase"] = np.maximum(out.pop("phrase_zh"), out.pop("phrase_en"))
+    out["whole"] = np.maximum.reduce([out[name] for _, names in WHOLE for name in names])  # no less than any of them
     out["whole2"] = np.maximum.reduce([out[f"{name}2"] for name in PAIRED])
     return out
 
@@ -266,14 +266,14 @@ class Grams(NamedTuple):
     def ratios(self, name: str, ratio: dict[str, np.ndarray], i: int) -> np.ndarray:
         """The ratios of sentence i; the pair decides where four ideographs are unknown to both sides."""
         a, b = self.at[i], self.at[i + 1]
-        x, pair = ratio[name][self.raw[a:b]].astype(np.float64), self.pair[a:b]
+        x, pair = ratio[name][self.raw[a:b]] / STEP, self.pair[a:b]
         if name in PAIRED:
             unknown = (x <= UNKNOWN) & (x > 2 * UNKNOWN) & (pair > 0)
-            x[unknown] = ratio[f"{name}2"][pair[unknown]]
+            x[unknown] = ratio[f"{name}2"][pair[unknown]] / STEP
         return x
 
     def bound(self, ratio: dict[str, np.ndarray]) -> np.ndarray:
-        """No less than the ratio of any kind, by gram."""
+        """No less than the ratio of any kind, by gram, in units of 1 / STEP."""
         return np.maximum(ratio["whole"][self.raw], ratio["whole2"][self.pair])
 
 
@@ -353,8 +353,8 @@ def _whole(g: Grams, ratio: dict[str, np.ndarray], limits: Limits) -> tuple[np.n
     """For each sentence the kind of residue (0 none, 2 filler, 3 notice) that covers it, and the mean ratio."""
     n = np.diff(g.at)
     kind, score = np.zeros(len(n), np.int8), np.zeros(len(n), np.float32)
-    most = np.add.reduceat(g.bound(ratio), g.at[:-1])
-    for i in np.flatnonzero(most >= (limits.mean - 0.001) * n):
+    most = np.add.reduceat(g.bound(ratio), g.at[:-1], dtype=np.int64)
+    for i in np.flatnonzero(most >= (limits.mean * STEP - 0.001) * n):
         for k, name in ((k, name) for k, names in WHOLE for name in names):
             x = g.ratios(name, ratio, i)
             mean = x.mean()
@@ -386,7 +386,7 @@ def _in_parts(g: Grams, kind: np.ndarray, score: np.ndarray, ratio: dict[str, np
                 continue
             kind[i], score[i] = k[q], x[q]
     o, least = g.at, limits.ending
-    most = np.concatenate([[0.0], np.cumsum(g.bound(ratio) - np.float32(least), dtype=np.float64)])
+    most = np.concatenate([[0.0], np.cumsum(g.bound(ratio) / STEP - least)])
     gain = most[o[1:]] - np.minimum.reduceat(most[:-1], o[:-1])
     for i in np.flatnonzero((kind == 0) & (gain >= LONG * least - 0.001)):
         for k, name in ((k, name) for k, names in WHOLE for name in names):
@@ -407,8 +407,8 @@ def judge(rows: list[str], ratio: dict[str, np.ndarray], limits: Limits = Limits
     n = np.diff(g.at)
     kind, score = _whole(g, ratio, limits)
     # a placeholder is short: what else its window holds weighs little against it
-    windows = np.maximum(np.maximum(ratio["phrase"][g.raw], ratio["shape"][shape]), -0.25)
-    run = np.concatenate([[0.0], np.cumsum(windows, dtype=np.float64)])
+    windows = np.maximum(np.maximum(ratio["phrase"][g.raw], ratio["shape"][shape]) / STEP, -0.25)
+    run = np.concatenate([[0.0], np.cumsum(windows)])
     starts = np.arange(len(windows))
     ends = np.minimum(starts + WINDOW, np.repeat(g.at[1:], n))
     best = np.maximum.reduceat(run[ends] - run[starts], g.at[:-1])

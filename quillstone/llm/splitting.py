@@ -12,6 +12,10 @@ Headings come first: a section that is too large is cut at its shallowest lower
 recursively, and each part is a scope with its own path ``A / B``.  Code blocks and tables
 stay whole where they fit; larger ones are cut between lines, tables repeat their header
 and code its fences.
+
+A piece begins with the end of the one before: as many whole blocks, lines or sentences as
+the overlap holds; where not even one sentence fits, the last clauses, words or characters
+of it.  Code and tables are repeated whole or not at all.
 """
 
 from __future__ import annotations
@@ -23,34 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sections import blocks, formatted, outline, split_sections
+from ..operators.sections import HEADING, blocks, formatted, scopes, split_sections
 from . import arrowtext as at
 from .rolling import gram_hashes
 
 WINDOW = 24
 #: Special tokens that the token count of a text includes.
 SPECIALS = 2
+#: Where a sentence may be entered, best first: after a clause, after a word.
+_ENTRIES = (re.compile(r"[，、：,:]\s*"), re.compile(r"\s+"))
 _SENTENCE = re.compile(r"[。！？；]+[”’\")）]*\s*|[.!?;]+[”’\")]*(?:\s+|$)")
 
 
-def headed(section: str, content: str, free) -> list[tuple[str, str]]:
-    """Scopes ``(path, content)``: contents that fit, or that have no lower heading to cut at."""
-    if len(content) <= free(section):
-        return [(section, content)]
-    lines = content.splitlines()
-    marks = [m for m in outline(lines) if m[1] >= 3]
-    if not marks:
-        return [(section, content)]
-    level = min(m[1] for m in marks)
-    cuts = [(-1, None)] + [(i, name) for i, lv, name in marks if lv == level] + [(len(lines), None)]
-    out = []
-    for (start, name), (end, _) in zip(cuts, cuts[1:]):
-        part = "\n".join(lines[start + 1 : end]).strip("\n")
-        if part.strip():
-            out.extend(headed(section if name is None else f"{section} / {name}", part, free))
-    return out
-
-
 class Boundaries:
     """Natural boundaries of a scope: offsets with a strength, and the blocks that are too large to stay whole."""
 
@@ -63,10 +51,12 @@ class Boundaries:
         starts.append(len(text))
         spots: dict[int, int] = {}
         self.inside: list[tuple[int, int, str, str]] = []  # start, end, what a later piece repeats before and after
+        self.prose: list[tuple[int, int]] = []
         for kind, a, b in blocks(text):
             begin, end = starts[a], starts[b]
             spots[begin] = spots[end] = 3
             if kind == "text":
+                self.prose.append((begin, end))
                 for k in range(a + 1, b):
                     spots.setdefault(starts[k], 2)
                 for m in _SENTENCE.finditer(text, begin, end):
@@ -93,6 +83,22 @@ class Boundaries:
                 return before, after
         return "", ""
 
+    def entry(self, place: int, first: int, overlap: int) -> int:
+        """Where the piece after ``place`` begins: at most ``overlap`` before it, beyond ``first``."""
+        low = max(place - overlap, first + 1)
+        i = int(np.searchsorted(self.at, low))
+        if i < len(self.at) and self.at[i] < place and self.text[self.at[i] : place].strip() and not self.repeated(int(self.at[i]))[0]:
+            return int(self.at[i])
+        last = len(self.text[:place].rstrip())
+        begin = next((a for a, b in self.prose if a < last <= b), None)
+        if begin is None or low >= last or begin > low:
+            return place
+        for entry in _ENTRIES:
+            found = next((m.end() for m in entry.finditer(self.text, low, last) if m.end() < last), None)
+            if found is not None:
+                return found
+        return low
+
 
 def cut(text: str, room: int, overlap: int) -> list[tuple[int, int]]:
     """``(start, end)`` of the pieces of one scope; all texts with what they repeat are at most ``room`` long."""
@@ -107,10 +113,8 @@ def cut(text: str, room: int, overlap: int) -> list[tuple[int, int]]:
     while place < len(text):
         begin = place
         before, _ = marks.repeated(place)
-        if out and not before:  # whole sentences or blocks of the piece before, within the overlap
-            i = int(np.searchsorted(marks.at, place - overlap))
-            if i < len(marks.at) and marks.at[i] < place and marks.at[i] > out[-1][0] and not marks.repeated(int(marks.at[i]))[0]:
-                begin = int(marks.at[i])
+        if out and overlap and not before:
+            begin = marks.entry(place, out[-1][0], overlap)
         most = min(room - len(before), len(text) - begin) + begin
         if most >= len(text):
             out.append((begin, len(text)))
@@ -138,8 +142,8 @@ def cut(text: str, room: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(title: str, section: str, content: str, limit: int = 512, overlap_ratio: float = 0.12) -> list[tuple[str, str]]:
-    """``(path, text)`` of the pieces of a section.
+def pieces(title: str, section: str, content: str, limit: int = 512, overlap_ratio: float = 0.12) -> list[tuple[str, str, int, int]]:
+    """``(path, text, start, end)`` of the pieces of a section, with their places in it.
 
     Where title and path alone leave no room, the scope stays one piece above the limit.
     """
@@ -149,34 +153,42 @@ def pieces(title: str, section: str, content: str, limit: int = 512, overlap_rat
         return limit - base - len(path)
 
     out = []
-    for path, text in headed(section, content, free):
-        room = free(path)
+    for path, first, last in scopes(section, content, lambda path, part: len(part) <= free(path)):
+        room, text = free(path), content[first:last]
         if room <= 0 or len(text) <= room:
-            out.append((path, text))
+            out.append((path, text, first, last))
             continue
-        marks = None
+        marks = Boundaries(text, room)
         for a, b in cut(text, room, int(room * overlap_ratio)):
-            if marks is None:
-                marks = Boundaries(text, room)
             before = marks.repeated(a)[0]
             inside = next((x for x in marks.inside if x[0] <= b - 1 < x[1] and b < x[1]), None)
             after = inside[3] if inside and (before or a <= inside[0]) else ""
             piece = before + text[a:b].strip("\n") + after
             if piece.strip():
-                out.append((path, piece))
+                out.append((path, piece, first + a, first + b))
     return out
 
 
-_SCHEMA = "row_id long, section_no int, chunk_index int, section string, oversized boolean, tokens int, within_limit boolean, piece string"
+def complete(content: str, places: list[tuple[int, int]]) -> bool:
+    """Whether pieces at these places hold the whole content but for headings and blank lines."""
+    at_ = 0
+    for a, b in [*places, (len(content), len(content))]:
+        if a > at_ and not all(HEADING.fullmatch(line) for line in content[at_:a].split("\n") if line.strip()):
+            return False
+        at_ = max(at_, b)
+    return True
+
+
+_SCHEMA = "row_id long, section_no int, chunk_index int, section string, oversized boolean, complete boolean, start int, end int, tokens int, within_limit boolean, piece string"
 
 
 def split_records(df: DataFrame, id_col: str = "row_id", body_col: str = "body", limit: int = 512, overlap_ratio: float = 0.12) -> DataFrame:
-    """All pieces of all records: ``row_id, section_no, chunk_index, section, oversized, tokens, within_limit, piece``.
+    """All pieces of all records: ``row_id, section_no, chunk_index, section, oversized, complete, start, end, tokens, within_limit, piece``.
 
     ``section_no`` counts a record's non-empty sections, ``chunk_index`` its pieces, both
-    from 0 without gaps; ``oversized`` tells that the piece's section exceeds the limit.
-    Null bodies and bodies without a level-1 heading give no rows; repeated rows are split
-    each on their own.
+    from 0 without gaps; ``oversized`` tells that the piece's section exceeds the limit,
+    ``complete`` that its pieces, at ``start`` to ``end`` of it, lose nothing.  Null bodies and
+    bodies without a level-1 heading give no rows; repeated rows are split each on their own.
     """
     if not 0 <= overlap_ratio < 0.5:
         raise ValueError("overlap_ratio must be in [0, 0.5)")
@@ -192,19 +204,20 @@ def split_records(df: DataFrame, id_col: str = "row_id", body_col: str = "body",
                 index = 0
                 for no, (section, content) in enumerate(sections):
                     size = len(formatted(title, section, content)) + SPECIALS
-                    large = size > limit
-                    for path, text in pieces(title, section, content, limit, overlap_ratio) if large else [(section, content)]:
+                    got = pieces(title, section, content, limit, overlap_ratio)
+                    whole = complete(content, [(a, z) for _, _, a, z in got])
+                    for path, text, a, z in got:
                         tokens = len(formatted(title, path, text)) + SPECIALS
-                        rows.append((row_id, no, index, path, large, tokens, tokens <= limit, text))
+                        rows.append((row_id, no, index, path, size > limit, whole, a, z, tokens, tokens <= limit, text))
                         index += 1
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.string()]
-            names = ["row_id", "section_no", "chunk_index", "section", "oversized", "tokens", "within_limit", "piece"]
+            cols = list(zip(*rows)) if rows else [[]] * 11
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
+            names = ["row_id", "section_no", "chunk_index", "section", "oversized", "complete", "start", "end", "tokens", "within_limit", "piece"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return df.select(F.col(id_col).cast("long"), F.col(body_col).cast("string")).mapInArrow(run, _SCHEMA)
 
 
 def oversized_sections(df: DataFrame, **how) -> DataFrame:
-    """``row_id, section_no`` of the sections that had to be cut."""
-    return split_records(df, **how).filter("oversized").select("row_id", "section_no").distinct()
+    """``row_id, section_no`` of the sections that had to be cut, and whose pieces hold all of them."""
+    return split_records(df, **how).filter("oversized and complete").select("row_id", "section_no").distinct()

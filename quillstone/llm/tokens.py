@@ -1,16 +1,17 @@
 """Token counts under an existing byte-level BPE vocabulary, and their totals (problem 3).
 
-A text is cut into pieces by the vocabulary's pattern.  Each different piece of a batch is
-tokenised once and weighted by how often it stands there: its bytes form a doubly linked
-list of symbols, a priority queue holds the possible merges by rank and place, and the
-symbols that survive are counted.  Counts are exact integers, so totals roll up exactly.
+A text is cut into pieces by the vocabulary's pattern.  Each different piece is tokenised
+once per worker and weighted by how often it stands in the text: its bytes form a doubly
+linked list of symbols, a priority queue holds the possible merges by rank and place, and
+the symbols that survive are counted.  Counts are exact integers, so totals roll up exactly.
 """
 
 from __future__ import annotations
 
 import base64
+import collections
+import hashlib
 import heapq
-import os
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KEPT = 400_000
 
 
-@lru_cache(2)
+@lru_cache(4)
 def read_ranks(path: str) -> dict[bytes, int]:
     """A vocabulary file: a base64 token and its rank per line."""
     with open(path, "rb") as f:
@@ -74,30 +75,26 @@ _cache: dict[str, dict[str, int]] = {}
 
 
 class Counter:
-    """Counts tokens of texts; keeps the counts of pieces it has seen."""
+    """Counts tokens of texts; keeps the counts of pieces it has seen under ``name``, which tells vocabularies and patterns apart."""
 
     def __init__(self, name: str, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.known = _cache.setdefault(name, {})
 
     def __call__(self, text: str) -> int:
-        known, found = self.known, self.find(text)
-        try:
-            return sum(map(known.__getitem__, found))
-        except KeyError:
-            pass
+        known, found = self.known, collections.Counter(self.find(text))
         if len(known) > KEPT:
             known.clear()
-        for piece in set(found):
-            if piece not in known:
-                known[piece] = count_tokens(piece.encode("utf-8", "replace"), self.ranks)
-        return sum(map(known.__getitem__, found))
+        for piece in found.keys() - known.keys():
+            known[piece] = count_tokens(piece.encode("utf-8", "replace"), self.ranks)
+        return sum(n * known[piece] for piece, n in found.items())
 
 
 def counter_for(spark, path: str = TOKENIZER, pattern: str = PATTERN):
     """A function that makes the counter on a worker; the vocabulary goes there once, as a broadcast of fixed size."""
     ranks = spark.sparkContext.broadcast(read_ranks(path))
-    name = f"{os.path.basename(path)}:{pattern}"
+    with open(path, "rb") as f:
+        name = f"{hashlib.file_digest(f, 'sha256').hexdigest()}:{pattern}"
     return lambda: Counter(name, ranks.value, pattern)
 
 

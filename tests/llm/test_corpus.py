@@ -224,6 +224,16 @@ def test_heavier_documents_are_taken_more_often(spark):
     assert taken.count() == 800 and heavy > 560
 
 
+@pytest.mark.parametrize("low, high", [(0.01, 100.0), (1e-9, 1e-9), (1.0, 1.0)])
+def test_no_bucket_of_keys_is_large_whatever_the_weights(spark, low, high):
+    u = (F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    keys = spark.range(100_000).select((-F.log(u) / F.when(F.col("id") % 2 == 0, low).otherwise(high)).alias("key"))
+    top = keys.groupBy(mixture.bucket(F.col("key")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    assert top.agg(F.max("n")).first()[0] < 200
+    ends = [(r.lo, r.hi) for r in top.orderBy("b").collect()]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_shared_folder_is_the_session_s(spark):
     assert shared_folder(spark) == shared_folder(spark)
 
