@@ -1,23 +1,24 @@
 """Held-out test items inside a corpus (problem 6), by generalised suffix automata.
 
 All items, in the consistent form of :mod:`lookalike`, lower-cased and reduced to letters
-and digits, go into one suffix automaton whose states know the items that hold their
-strings.  The corpus streams through it twice over:
+and digits, go into suffix automata.  A token is a character of that form, as the problem
+counts runs in characters.  The corpus streams through them:
 
-* The automaton of the reversed items reads a window of ``run`` characters backwards.
-  Where it fails, no shared run can span the place, and the window moves past it; so most
-  characters of a text without leaks are never read.
-* Texts with a hit are read forwards through the other automaton, which keeps the longest
-  match that ends at each character.
+* The automaton of the reversed items only tells where nothing can be: it reads a window of
+  ``run`` characters backwards, and where it fails the window moves past that place, so
+  most characters of a text without leaks are never read.
+* Where a window holds, the text is read forwards through the other automaton, which tracks
+  the longest match that ends at each character.  All results come from these matches.
 
-The items are cut into blocks of bounded size, one automaton each; only a block's texts
-are sent to the workers.
+The items are cut into blocks of bounded size, two automata each; several blocks are
+searched in one pass over the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,54 +28,101 @@ from pyspark.sql import functions as F
 from . import arrowtext as at
 from . import lookalike as la
 
-#: Characters of one automaton (about 2 states each, some 300 bytes a state).
-BLOCK_CHARS = 500_000
-#: Jamo that compose with the one before.
-_JOINING = frozenset(map(chr, range(0x1160, 0x1200)))
+#: Characters of one block's automata, and blocks of one pass over the corpus.
+BLOCK_CHARS = 200_000
+PASS_BLOCKS = 4
 
 
 class Automaton:
-    """A suffix automaton of several strings; ``mask[s]`` has bit i set if string i holds the strings of state s."""
+    """A suffix automaton of several strings.
+
+    A state with one transition holds it in two flat arrays, others have a dictionary.  The
+    places where a state's strings end, in which string and where, are a slice of two
+    arrays in the order of the tree of suffix links.
+    """
 
     def __init__(self, strings: list[str]):
-        self.next: list[dict[str, int]] = [{}]
-        self.link, self.size, self.mask = [-1], [0], [0]
+        self._grow: list[dict[str, int]] = [{}]
+        self.link, self.size = array("i", [-1]), array("i", [0])
+        ends: list[tuple[int, int, int]] = []  # state, string, characters read
         for i, s in enumerate(strings):
-            state, bit = 0, 1 << i
-            for c in s:
+            state = 0
+            for n, c in enumerate(s):
                 state = self._extend(state, c)
-                self.mask[state] |= bit
-        for state in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
-            self.mask[self.link[state]] |= self.mask[state]
-        self.mask[0] = 0
+                ends.append((state, i, n + 1))
+        self._place(ends)
+        self.sign = [next(iter(e)) if len(e) == 1 else "" for e in self._grow]
+        self.goal = array("i", [next(iter(e.values())) if len(e) == 1 else -1 for e in self._grow])
+        self.many = {k: e for k, e in enumerate(self._grow) if len(e) != 1}
+        del self._grow
 
     def _new(self, size: int, link: int, edges: dict[str, int]) -> int:
-        self.next.append(edges), self.size.append(size), self.link.append(link), self.mask.append(0)
+        self._grow.append(edges), self.size.append(size), self.link.append(link)
         return len(self.size) - 1
 
     def _split(self, p: int, q: int, c: str) -> int:
         """State q's strings no longer than those reached from p by c, as a state of their own."""
         if self.size[q] == self.size[p] + 1:
             return q
-        copy = self._new(self.size[p] + 1, self.link[q], dict(self.next[q]))
+        copy = self._new(self.size[p] + 1, self.link[q], dict(self._grow[q]))
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        while p >= 0 and self._grow[p].get(c) == q:
+            self._grow[p][c] = copy
             p = self.link[p]
         return copy
 
     def _extend(self, last: int, c: str) -> int:
-        q = self.next[last].get(c)
+        q = self._grow[last].get(c)
         if q is not None:  # an earlier string already led here
             return self._split(last, q, c)
         new, p = self._new(self.size[last] + 1, 0, {}), last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        while p >= 0 and c not in self._grow[p]:
+            self._grow[p][c] = new
             p = self.link[p]
         if p >= 0:
-            self.link[new] = self._split(p, self.next[p][c], c)
+            self.link[new] = self._split(p, self._grow[p][c], c)
         return new
 
+    def _place(self, ends: list[tuple[int, int, int]]) -> None:
+        n = len(self.size)
+        order = sorted(range(1, n), key=self.size.__getitem__)
+        count = array("i", bytes(4 * n))
+        for state, _, _ in ends:
+            count[state] += 1
+        own = array("i", count)
+        for state in reversed(order):
+            count[self.link[state]] += count[state]
+        self.first, self.count, free = array("i", bytes(4 * n)), count, array("i", bytes(4 * n))
+        free[0] = own[0]
+        for state in order:  # a state's own ends come first, those of the states below it after them
+            up = self.link[state]
+            self.first[state] = free[up]
+            free[up] += count[state]
+            free[state] = self.first[state] + own[state]
+        self.string, self.end = np.zeros(len(ends), np.int32), np.zeros(len(ends), np.int32)
+        fill = array("i", self.first)
+        for state, string, end in ends:
+            self.string[fill[state]], self.end[fill[state]] = string, end
+            fill[state] += 1
+
+    def step(self, state: int, c: str) -> int:
+        """The state after one more character, -1 if there is none."""
+        if self.sign[state] == c:
+            return self.goal[state]
+        edges = self.many.get(state)
+        return edges.get(c, -1) if edges else -1
+
+    def holders(self, state: int) -> list[int]:
+        """The strings that hold the strings of a state."""
+        a = self.first[state]
+        return np.unique(self.string[a : a + self.count[state]]).tolist()
+
+    def ends(self, state: int, string: int) -> list[int]:
+        """Where in one string the strings of a state end."""
+        a = self.first[state]
+        part = slice(a, a + self.count[state])
+        return self.end[part][self.string[part] == string].tolist()
+
 
 _built: dict[str, tuple[Automaton, Automaton]] = {}
 
@@ -83,59 +131,64 @@ def automata(strings: list[str]) -> tuple[Automaton, Automaton]:
     """The automata of the strings and of the reversed ones, built once per worker."""
     name = hashlib.sha256("\0".join(strings).encode()).hexdigest()
     if name not in _built:
-        if len(_built) > 3:
+        if len(_built) > PASS_BLOCKS:
             _built.clear()
         _built[name] = Automaton(strings), Automaton([s[::-1] for s in strings])
     return _built[name]
 
 
-def touches(text: str, back: Automaton, run: int) -> int:
-    """The strings that share ``run`` characters with the text, as bits."""
-    edges, mask, found, at_, n = back.next, back.mask, 0, 0, len(text)
+def touches(text: str, back: Automaton, run: int) -> bool:
+    """Whether some string shares ``run`` characters with the text."""
+    step, at_, n = back.step, 0, len(text)
     while at_ + run <= n:
         state, j = 0, at_ + run - 1
-        while j >= at_:
-            step = edges[state].get(text[j])
-            if step is None:
-                break
-            state, j = step, j - 1
-        if j < at_:
-            found |= mask[state]
-            at_ += 1
-        else:
-            at_ = j + 1
-    return found
-
-
-def matches(text: str, forward: Automaton, run: int) -> dict[int, list[tuple[int, int]]]:
-    """Per string the maximal places ``(start, end)`` of the text it matches over at least ``run`` characters."""
-    edges, link, sizes, mask = forward.next, forward.link, forward.size, forward.mask
-    out: dict[int, list[tuple[int, int]]] = {}
+        while j >= at_ and state >= 0:
+            state, j = step(state, text[j]), j - 1
+        if state >= 0:
+            return True
+        at_ = j + 2
+    return False
+
+
+def matches(text: str, forward: Automaton, run: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Per string the maximal places ``(start, end, state)`` of the text that it matches over at least ``run`` characters."""
+    step, link, sizes = forward.step, forward.link, forward.size
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    held: dict[int, list[int]] = {}
     state = size = 0
     for i, c in enumerate(text):
-        while state and c not in edges[state]:
+        after = step(state, c)
+        while after < 0 and state:
             state = link[state]
             size = sizes[state]
-        step = edges[state].get(c)
-        state, size = (0, 0) if step is None else (step, size + 1)
-        s, length, seen = state, size, 0
+            after = step(state, c)
+        state, size = (after, size + 1) if after >= 0 else (0, 0)
+        s, length, seen = state, size, set()
         while s > 0 and length >= run:
-            fresh = mask[s] & ~seen
-            seen |= fresh
-            while fresh:
-                low = fresh & -fresh
-                k = low.bit_length() - 1
-                fresh ^= low
+            if s not in held:
+                held[s] = forward.holders(s)
+            for k in held[s]:
+                if k in seen:
+                    continue
+                seen.add(k)
                 spans = out.setdefault(k, [])
                 if spans and spans[-1][0] == i + 1 - length:
-                    spans[-1] = (i + 1 - length, i + 1)
-                else:
-                    spans.append((i + 1 - length, i + 1))
+                    spans.pop()
+                spans.append((i + 1 - length, i + 1, s))
             s = link[s]
             length = sizes[s]
     return out
 
 
+def covered(spans: list[tuple[int, int, int]], string: int, forward: Automaton) -> int:
+    """How many characters of a string lie in its matches, wherever in it these stand."""
+    total = reach = 0
+    for a, b in sorted((e - (b - a), e) for a, b, state in spans for e in forward.ends(state, string)):
+        total += max(0, b - max(a, reach))
+        reach = max(reach, b)
+    return total
+
+
 def _compared(col: pa.Array) -> list[str]:
     c, o = la.letters_and_digits(*la.fold(*at.codepoints(col)))
     s, o = at.text_of(c), o.tolist()
@@ -143,7 +196,7 @@ def _compared(col: pa.Array) -> list[str]:
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """Items in their compared form, in blocks; the item list is the bounded side of the search."""
+    """Items in their compared form, in blocks, made on the driver: test items are the fixed side, which doesn't grow with the corpus."""
     rows = items.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     out: list[list[tuple[int, str]]] = [[]]
     size = 0
@@ -157,40 +210,36 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int =
     return out
 
 
-def _scan(block: list[tuple[int, str]], run_length: int, detail: bool):
-    ids, strings = [i for i, _ in block], [s for _, s in block]
+def _scan(blocks: list[list[tuple[int, str]]], run_length: int):
+    """All matches of each document: ``doc_id, item_id, a, b, covered, item_chars``, the last two the same for all of a pair."""
 
     def run(batches):
-        forward, back = automata(strings)
+        built = [([i for i, _ in block], [s for _, s in block], *automata([s for _, s in block])) for block in blocks]
         for b in batches:
             docs, rows = b.column(0).to_pylist(), []
             for doc, text in zip(docs, _compared(b.column(1))):
-                hit = touches(text, back, run_length)
-                if not hit:
-                    continue
-                if detail:
+                for ids, strings, forward, back in built:
+                    if not touches(text, back, run_length):
+                        continue
                     for k, spans in matches(text, forward, run_length).items():
-                        rows.extend((doc, ids[k], x, y, len(text), len(strings[k])) for x, y in spans)
-                else:
-                    while hit:
-                        low = hit & -hit
-                        rows.append((doc, ids[low.bit_length() - 1], 0, 0, 0, 0))
-                        hit ^= low
+                        part = covered(spans, k, forward)
+                        rows.extend((doc, ids[k], x, y, part, len(strings[k])) for x, y, _ in spans)
             cols = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "a", "b", "doc_chars", "item_chars"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "a", "b", "covered", "item_chars"])
 
     return run
 
 
-_ROWS = "doc_id long, item_id long, a int, b int, doc_chars int, item_chars int"
+_ROWS = "doc_id long, item_id long, a int, b int, covered int, item_chars int"
 
 
-def _search(docs: DataFrame, items: DataFrame, run_length: int, detail: bool, doc_id: str, doc_text: str, item_id: str, item_text: str, block_chars: int):
+def _search(docs: DataFrame, items: DataFrame, run_length: int, doc_id: str, doc_text: str, item_id: str, item_text: str, block_chars: int) -> DataFrame:
     src = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text")).filter("doc is not null and text is not null")
+    blocks = item_blocks(items, item_id, item_text, block_chars)
     out = None
-    for block in item_blocks(items, item_id, item_text, block_chars):
-        part = src.mapInArrow(_scan(block, run_length, detail), _ROWS)
+    for a in range(0, len(blocks), PASS_BLOCKS):
+        part = src.mapInArrow(_scan(blocks[a : a + PASS_BLOCKS], run_length), _ROWS)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -204,7 +253,7 @@ def leaked_items(
     Null ids and texts are out, items shorter than ``run_length`` never match, repeated
     rows count once, an empty table gives no rows.
     """
-    return _search(docs, items, run_length, False, doc_id, doc_text, item_id, item_text, block_chars).select("doc_id", "item_id").distinct()
+    return _search(docs, items, run_length, doc_id, doc_text, item_id, item_text, block_chars).select("doc_id", "item_id").distinct()
 
 
 def leak_report(
@@ -213,37 +262,29 @@ def leak_report(
 ) -> DataFrame:
     """One row per document and leaked item: longest run, part of the item that is covered, and whether a limit is exceeded.
 
-    Lengths count letters and digits of the compared form.
+    Lengths count letters and digits of the compared form; the part is that of all runs
+    together.  Where rows repeat a document's id, the one that covers most counts.
     """
-    spans = _search(docs, items, run_length, True, doc_id, doc_text, item_id, item_text, block_chars)
+    spans = _search(docs, items, run_length, doc_id, doc_text, item_id, item_text, block_chars)
     out = spans.groupBy("doc_id", "item_id").agg(
-        F.max(F.col("b") - F.col("a")).cast("long").alias("longest_run"), F.max("item_chars").alias("n"), F.count_distinct("a").alias("runs")
+        F.max(F.col("b") - F.col("a")).cast("long").alias("longest_run"), F.max(F.col("covered") / F.col("item_chars")).alias("part"), F.count_distinct("a").alias("runs")
     )
-    covered = F.round(F.col("longest_run") / F.col("n"), 6)
+    covered = F.round("part", 6)
     return out.select(
         "doc_id", "item_id", "longest_run", "runs", covered.alias("item_coverage"),
         ((F.col("longest_run") > max_length) | (covered > max_coverage)).alias("exceeds"),
     )
 
 
-def _origins(text: str) -> np.ndarray | None:
-    """For each character of the compared form the place in ``text`` it came from; None if they don't add up."""
-    cps, offs = at.from_strings([text])
-    one = np.arange(len(cps) + 1)  # every character as a text of its own
-    c, o = la.fold(cps, one)
-    _, o = la.letters_and_digits(c, o)
-    where = np.repeat(np.arange(len(cps)), np.diff(o))
-    total = len(_compared(pa.array([text]))[0])
-    if len(where) == total:
-        return where
-    # signs that compose with those before them, such as conjoining jamo, come from the first one
-    goes_on = np.array([ch in _JOINING or unicodedata.category(ch) in ("Mn", "Mc", "Me", "Cf") for ch in text])
-    goes_on[:1] = False
-    first = np.flatnonzero(~goes_on)
-    c, o = la.fold(cps, np.append(first, len(cps)))
-    _, o = la.letters_and_digits(c, o)
-    where = np.repeat(first, np.diff(o))
-    return where if len(where) == total else None
+def _origins(text: str) -> np.ndarray:
+    """For each character of the compared form the place in ``text`` it came from."""
+    c, origin = la.fold_with_origins(at.from_strings([text])[0])
+    return origin[la.is_letter_or_digit(c)]
+
+
+def _joins(c: str) -> bool:
+    """Whether a character is drawn with the one before: a mark, or a conjoining vowel or final."""
+    return unicodedata.category(c)[0] == "M" or "\u1160" <= c <= "\u11ff"
 
 
 def without_leaks(
@@ -252,12 +293,13 @@ def without_leaks(
 ) -> DataFrame:
     """``doc_id, text, removed_chars``: every document, without the spans that exceed a limit.
 
-    A span goes if it is longer than ``max_length`` or covers more than ``max_coverage`` of
-    its item.  Documents without such spans keep their text, nulls stay null.
+    A span goes if it is longer than ``max_length``, or if the document's spans of its item
+    cover more than ``max_coverage`` of that.  Documents without such spans keep their text,
+    nulls stay null.
     """
-    spans = _search(docs, items, run_length, True, doc_id, doc_text, item_id, item_text, block_chars)
+    spans = _search(docs, items, run_length, doc_id, doc_text, item_id, item_text, block_chars)
     size = F.col("b") - F.col("a")
-    cut = spans.filter((size > max_length) | (size > max_coverage * F.col("item_chars"))).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
+    cut = spans.filter((size > max_length) | (F.col("covered") > max_coverage * F.col("item_chars"))).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
 
     def run(batches):
         for b in batches:
@@ -268,13 +310,13 @@ def without_leaks(
                     continue
                 where, drop = _origins(text), np.zeros(len(text), bool)
                 for s in cuts:
-                    if where is None:
-                        drop[:] = True
-                    else:
-                        end = where[s["b"] - 1] + 1
-                        while end < len(text) and text[end] in _JOINING and not (where == end).any():  # composed with the last one
-                            end += 1
-                        drop[where[s["a"]] : end] = True
+                    if s["b"] > len(where):
+                        continue  # of another row with the same id
+                    end = where[s["b"] - 1] + 1
+                    follower = where[s["b"]] if s["b"] < len(where) else len(text)
+                    while end < follower and _joins(text[end]):  # composed with the last one
+                        end += 1
+                    drop[where[s["a"]] : end] = True
                 texts.append("".join(c for c, d in zip(text, drop.tolist()) if not d)), gone.append(int(drop.sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["doc_id", "text", "removed_chars"])
 

@@ -120,14 +120,14 @@ def tables() -> dict[str, np.ndarray]:
     }
 
 
-def _compose(cps: np.ndarray, offs: np.ndarray, t: dict, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks in canonical order, joined with their bases where a composed form exists.
+def _compose(cps: np.ndarray, offs: np.ndarray, t: dict, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Marks in canonical order, joined with their bases where a composed form exists; last, which code points are left.
 
     ``spots`` are the places of marks; runs of them are handled side by side, the k-th
     mark of every run in round k.
     """
     if not len(spots):
-        return cps, offs
+        return cps, offs, None
     cps = cps.copy()
     begins = np.isin(spots, offs)  # a mark that begins its text has no base
     first = np.concatenate([[True], np.diff(spots) != 1]) | begins
@@ -153,15 +153,15 @@ def _compose(cps: np.ndarray, offs: np.ndarray, t: dict, spots: np.ndarray) -> t
         miss = ~hit
         last[r[miss]] = np.maximum(last[r[miss]], c[miss])
         stuck[r[miss]] |= c[miss] == 0
-    return cps[keep], at.kept(keep, offs)
+    return cps[keep], at.kept(keep, offs), keep
 
 
-def _fold_block(cps: np.ndarray, offs: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
+def _fold_block(cps: np.ndarray, offs: np.ndarray, t: dict, origin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     beyond = len(cps) > 0 and cps.max() >= TOP
     low = np.minimum(cps, TOP - 1) if beyond else cps
     spots = np.flatnonzero(t["special"][low])
     if not len(spots):
-        return cps, offs
+        return cps, offs, origin
     here = low[spots]
     size = t["size"][here].astype(np.int64)
     value = t["single"][here]
@@ -183,6 +183,7 @@ def _fold_block(cps: np.ndarray, offs: np.ndarray, t: dict) -> tuple[np.ndarray,
         full[spots] = size
         ends = np.concatenate([[0], np.cumsum(full)])
         new = np.repeat(out, full)
+        origin = None if origin is None else np.repeat(origin, full)
         m = size > 1
         if m.any():
             n = size[m]
@@ -190,7 +191,14 @@ def _fold_block(cps: np.ndarray, offs: np.ndarray, t: dict) -> tuple[np.ndarray,
             new[np.repeat(ends[spots[m]], n) + inner] = t["pool"][np.repeat(t["start"][here[m]], n) + inner]
         out, offs = new, ends[offs]
     marks = np.flatnonzero(t["follows"][np.minimum(out, TOP - 1) if beyond else out])
-    return _compose(out, offs, t, marks)
+    out, offs, keep = _compose(out, offs, t, marks)
+    return out, offs, origin if origin is None or keep is None else origin[keep]
+
+
+def fold_with_origins(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The consistent form of one text, and for each code point of it the place it came from; a composed one came from its base."""
+    out, _, origin = _fold_block(cps, np.array([0, len(cps)]), tables(), np.arange(len(cps)))
+    return out, origin
 
 
 def fold(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +208,7 @@ def fold(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return cps, offs
     parts, ends = [], [np.zeros(1, np.int64)]
     for a, b in blocks(offs, BLOCK):
-        c, o = _fold_block(cps[offs[a] : offs[b]], offs[a : b + 1] - offs[a], t)
+        c, o, _ = _fold_block(cps[offs[a] : offs[b]], offs[a : b + 1] - offs[a], t)
         parts.append(c)
         ends.append(o[1:] + ends[-1][-1])
     return np.concatenate(parts), np.concatenate(ends)
@@ -218,6 +226,10 @@ def _alnum() -> np.ndarray:
     return low
 
 
+def is_letter_or_digit(cps: np.ndarray) -> np.ndarray:
+    return (cps < TOP) & (_alnum()[np.minimum(cps, TOP - 1)] > 0)
+
+
 def letters_and_digits(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased letters and digits of a folded batch."""
     low = np.where(cps < TOP, _alnum()[np.minimum(cps, TOP - 1)], 0)

@@ -35,6 +35,7 @@ from . import arrowtext as at
 from . import lookalike as la
 from . import phrases
 from .rolling import mixed
+from ..sources.staging import staged
 
 CELLS = 1 << 20
 GRAM = 4
@@ -70,6 +71,7 @@ _SAYS = re.compile(
     r"|zeigt|meldet|meldung|lautet|steht|heißt))[\s:：,，]*$",
     re.I,
 )
+_SIGN = re.compile(r"[{}$#<>%@\[\]【】（）()《》]|__|xx", re.I)
 _CLOSING = " .。!！…:："
 #: A line between two texts of a batch; folding leaves no such sign in a text.
 _BREAK = "\x01"
@@ -127,8 +129,10 @@ def _cells(cps: np.ndarray, view: int) -> np.ndarray:
             x = np.where((cps >= 0x3001) & (cps <= 0x303F) | (cps >= 0xFF00), cps, x)
     x = x.astype(np.uint64)
     with np.errstate(over="ignore"):
-        key = x[: len(x) - 3] * np.uint64(0x1F123BB5) + x[1 : len(x) - 2] * np.uint64(0x9E3779B1) * np.uint64(3)
-        key = mixed(key) + x[2 : len(x) - 1] * np.uint64(0x85EBCA77C2B2) + x[3:] * np.uint64(0xC2B2AE3D27D4) + np.uint64(view)
+        key = x[: len(x) - 3] * np.uint64(0x9E3779B97F4A7C15)
+        for k, odd in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9), (3, 0x27D4EB2F165667C5)):
+            key += x[k : len(x) - 3 + k] * np.uint64(odd)
+        key += np.uint64(view)
     return (mixed(key) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
@@ -148,6 +152,12 @@ def masked(rows: list[str]) -> list[str]:
     return _NUMBERED.sub("0", "\n".join(rows)).split("\n") if rows else rows
 
 
+def _signed(rows: list[str]) -> list[int]:
+    """The sentences that hold a sign every placeholder has."""
+    find = _SIGN.search
+    return [i for i, r in enumerate(rows) if find(r)]
+
+
 def _flat(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sentences with their marks as code points; offsets of the grams of each."""
     text = "".join([chr(START) + r + chr(END) + "\n\n" for r in rows])  # two more, so that each sentence has a gram per character
@@ -212,7 +222,8 @@ def ratios(natural: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, np.n
     out = {}
     for kind, (view, p) in fitted().items():
         n = natural[view].astype(np.float64)
-        q = np.maximum((n + 0.5) / (n.sum() + 0.5 * CELLS), PLAIN_SHARE * _plain()[view])
+        total = natural[0 if view == 1 else view].sum()  # shapes are counted only where there is a sign
+        q = np.maximum((n + 0.5) / (total + 0.5 * CELLS), PLAIN_SHARE * _plain()[view])
         floor = 2e-6
         r = np.clip(np.log((p + floor) / (q + floor)), -4.0, 6.0)
         r[p == 0] = np.minimum(r[p == 0], UNKNOWN)  # at every size of the corpus
@@ -231,9 +242,25 @@ def _prose(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     c, o = la.fold(*at.codepoints(col))
     text, o = at.text_of(c), o.tolist()
     rows, owner = sentences([text[a:b] for a, b in zip(o, o[1:])])
-    owner = np.array(owner, np.int64)
     size = np.array([len(r) for r in rows], np.int64)
-    return masked(rows), owner, size
+    return masked(rows), np.array(owner, np.int64), size
+
+
+def prose(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """``id, sentences, sizes``: the sentences of all columns of each row, in the form that is judged, and their lengths as written."""
+
+    def run(batches):
+        for b in batches:
+            lists, sizes = [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
+            for col in b.columns[1:]:
+                rows, owner, size = _prose(col)
+                for r, i, n in zip(rows, owner.tolist(), size.tolist()):
+                    lists[i].append(r)
+                    sizes[i].append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int32()))], names=["id", "sentences", "sizes"])
+
+    src = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(columns)])
+    return src.filter("id is not null").mapInArrow(run, "id long, sentences array<string>, sizes array<int>")
 
 
 class Limits(NamedTuple):
@@ -251,17 +278,15 @@ class Grams(NamedTuple):
     """The model cells of sentences."""
 
     rows: list[str]
-    cps: np.ndarray
-    offs: np.ndarray
     raw: np.ndarray
     pair: np.ndarray
     at: np.ndarray  # where each sentence's grams begin
 
     @staticmethod
-    def of(rows: list[str]) -> Grams:
+    def of(rows: list[str], view: int = 0) -> Grams:
         cps, offs = _flat(rows)
-        raw, o = _grams(cps, offs, 0)
-        return Grams(rows, cps, offs, raw, _grams(cps, offs, 2)[0], o)
+        raw, o = _grams(cps, offs, view)
+        return Grams(rows, raw, _grams(cps, offs, 2)[0] if view == 0 else raw, o)
 
     def ratios(self, name: str, ratio: dict[str, np.ndarray], i: int) -> np.ndarray:
         """The ratios of sentence i; the pair decides where four ideographs are unknown to both sides."""
@@ -277,23 +302,17 @@ class Grams(NamedTuple):
         return np.maximum(ratio["whole"][self.raw], ratio["whole2"][self.pair])
 
 
-def natural_counts(df: DataFrame, columns: list[str], limits: Limits = Limits()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram counts of the different sentences of all rows, for the three views; at most 3 x CELLS numbers reach the driver.
+def natural_counts(texts: DataFrame, limits: Limits = Limits()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram counts of the different sentences of all rows of :func:`prose`, for the three views; at most 3 x CELLS numbers reach the driver.
 
     A sentence counts once, however often it stands, and not at all where the wordings alone
     make it filler or a notice: frequent residue doesn't become natural.
     """
     nothing = np.zeros(CELLS, np.int64)
     bare = ratios((nothing, nothing, nothing))
-    bare = df.sparkSession.sparkContext.broadcast({k: v for k, v in bare.items() if k not in ("shape", "phrase")})
+    bare = texts.sparkSession.sparkContext.broadcast({k: v for k, v in bare.items() if k not in ("shape", "phrase")})
     limits = limits._replace(mean=limits.mean + BEFORE)
 
-    def cut(batches):
-        for b in batches:
-            for col in b.columns:
-                rows, _, _ = _prose(col)
-                yield pa.RecordBatch.from_arrays([pa.array(list(dict.fromkeys(rows)), pa.string())], names=["sentence"])
-
     def run(batches):
         total = np.zeros(3 * CELLS, np.int64)
 
@@ -302,8 +321,9 @@ def natural_counts(df: DataFrame, columns: list[str], limits: Limits = Limits())
             kind, score = _whole(g, bare.value, limits)
             _in_parts(g, kind, score, bare.value, limits)
             left = np.repeat(kind == 0, np.diff(g.at))
-            for view, cells in ((0, g.raw), (1, _grams(g.cps, g.offs, 1)[0]), (2, g.pair)):
-                total[view * CELLS : (view + 1) * CELLS] += np.bincount(cells[left], minlength=CELLS)
+            shape = Grams.of([rows[i] for i in _signed(rows) if kind[i] == 0], 1)
+            for view, cells in ((0, g.raw[left]), (1, shape.raw), (2, g.pair[left])):
+                total[view * CELLS : (view + 1) * CELLS] += np.bincount(cells, minlength=CELLS)
 
         held, size = [], 0
         for b in batches:
@@ -318,7 +338,7 @@ def natural_counts(df: DataFrame, columns: list[str], limits: Limits = Limits())
         at_ = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at_.astype(np.int32)), pa.array(total[at_])], names=["cell", "n"])
 
-    different = df.select(*columns).mapInArrow(cut, "sentence string").distinct()
+    different = texts.select(F.explode("sentences").alias("sentence")).distinct()
     sums = different.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     t = sums.toArrow()
     out = np.zeros(3 * CELLS, np.int64)
@@ -403,17 +423,17 @@ def _in_parts(g: Grams, kind: np.ndarray, score: np.ndarray, ratio: dict[str, np
 def judge(rows: list[str], ratio: dict[str, np.ndarray], limits: Limits = Limits()) -> tuple[np.ndarray, np.ndarray]:
     """For each sentence the kind of residue (0 none, 1 placeholder, 2 filler, 3 notice) in it and the mean or window ratio."""
     g = Grams.of(rows)
-    shape, _ = _grams(g.cps, g.offs, 1)
-    n = np.diff(g.at)
     kind, score = _whole(g, ratio, limits)
-    # a placeholder is short: what else its window holds weighs little against it
-    windows = np.maximum(np.maximum(ratio["phrase"][g.raw], ratio["shape"][shape]) / STEP, -0.25)
-    run = np.concatenate([[0.0], np.cumsum(windows)])
-    starts = np.arange(len(windows))
-    ends = np.minimum(starts + WINDOW, np.repeat(g.at[1:], n))
-    best = np.maximum.reduceat(run[ends] - run[starts], g.at[:-1])
-    hit = best >= limits.placeholder
-    kind[hit], score[hit] = 1, best[hit]
+    signed = np.array(_signed(rows), np.int64)
+    if len(signed):
+        raw, shape = (Grams.of([rows[i] for i in signed], view) for view in (0, 1))
+        # a placeholder is short: what else its window holds weighs little against it
+        windows = np.maximum(np.maximum(ratio["phrase"][raw.raw], ratio["shape"][shape.raw]) / STEP, -0.25)
+        run = np.concatenate([[0.0], np.cumsum(windows)])
+        ends = np.minimum(np.arange(len(windows)) + WINDOW, np.repeat(raw.at[1:], np.diff(raw.at)))
+        best = np.maximum.reduceat(run[ends] - run[:-1], raw.at[:-1])
+        hit = best >= limits.placeholder
+        kind[signed[hit]], score[signed[hit]] = 1, best[hit]
     _in_parts(g, kind, score, ratio, limits)
     return kind, score
 
@@ -428,31 +448,29 @@ def residue(df: DataFrame, id_col: str, columns: list[str], limits: Limits = Lim
     have no prose and no residue.  The natural model comes from ``corpus``, all rows of
     ``df`` by default.  Repeated rows are judged each on their own.
     """
-    src = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(columns)]).filter("id is not null")
-    natural = natural_counts(corpus if corpus is not None else src, [f"c{k}" for k in range(len(columns))] if corpus is None else columns, limits)
-    ratio = ratios(natural)
-    model = df.sparkSession.sparkContext.broadcast(ratio)
+    texts = staged(prose(df, id_col, columns), "sentences")  # read for the model and to be judged
+    natural = natural_counts(texts if corpus is None else staged(prose(corpus, id_col, columns), "corpus"), limits)
+    model = df.sparkSession.sparkContext.broadcast(ratios(natural))
 
     def run(batches):
         for b in batches:
             n = b.num_rows
             counts, covered, chars = np.zeros((n, 4), np.int64), np.zeros(n), np.zeros(n)
-            for col in b.columns[1:]:
-                rows, owner, size = _prose(col)
-                if rows:
-                    chars += np.bincount(owner, size, minlength=n)
-                    names: dict[str, int] = {}
-                    which = np.array([names.setdefault(r, len(names)) for r in rows], np.int64)  # a batch's sentence is judged once
-                    kind = judge(list(names), model.value, limits)[0][which]
-                    np.add.at(counts, (owner, kind), 1)
-                    bad = kind > 0
-                    covered += np.bincount(owner[bad], size[bad], minlength=n)
+            size = b.column(2).flatten().to_numpy()
+            if len(size):
+                owner = np.repeat(np.arange(n), b.column(1).value_lengths().to_numpy())
+                different = b.column(1).flatten().dictionary_encode()
+                kind = judge(different.dictionary.to_pylist(), model.value, limits)[0][different.indices.to_numpy()]  # a batch's sentence is judged once
+                chars += np.bincount(owner, size, minlength=n)
+                np.add.at(counts, (owner, kind), 1)
+                bad = kind > 0
+                covered += np.bincount(owner[bad], size[bad], minlength=n)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[pa.array(counts[:, k]) for k in (1, 2, 3)], pa.array(chars.astype(np.int64)), pa.array(covered.astype(np.int64))],
                 names=["id", "placeholder", "filler", "notice", "prose_chars", "residue_chars"],
             )
 
-    out = src.mapInArrow(run, "id long, placeholder long, filler long, notice long, prose_chars long, residue_chars long")
+    out = texts.mapInArrow(run, "id long, placeholder long, filler long, notice long, prose_chars long, residue_chars long")
     return out.withColumn("coverage", F.when(F.col("prose_chars") > 0, F.round(F.col("residue_chars") / F.col("prose_chars"), 6)).otherwise(F.lit(0.0)))
 
 

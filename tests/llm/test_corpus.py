@@ -186,8 +186,39 @@ def test_leaks_equal_brute_force(spark):
 
 def test_longest_matches():
     a, back = leaks.automata(["abcdefgh", "xxabcdzz", "cdefghij"])
-    assert leaks.matches("--abcdefghij--", a, 4) == {0: [(2, 10)], 1: [(2, 6)], 2: [(4, 12)]}
-    assert leaks.touches("--abcdefghij--", back, 8) == 0b101
+    found = leaks.matches("--abcdefghij--", a, 4)
+    assert {k: [s[:2] for s in v] for k, v in found.items()} == {0: [(2, 10)], 1: [(2, 6)], 2: [(4, 12)]}
+    assert leaks.touches("--abcdefghij--", back, 8) and not leaks.touches("--abcdefghij--", back, 9)
+    assert [leaks.covered(found[k], k, a) for k in (0, 1, 2)] == [8, 4, 8]
+
+
+def test_every_end_of_a_state_is_known():
+    rng = random.Random(3)
+    strings = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(8)]
+    a, _ = leaks.automata(strings)
+    for n in (1, 2, 3):
+        for word in {s[i : i + n] for s in strings for i in range(len(s) - n + 1)}:
+            state = 0
+            for c in word:
+                state = a.step(state, c)
+            want = {k: [i + n for i in range(len(s) - n + 1) if s[i : i + n] == word] for k, s in enumerate(strings)}
+            assert a.holders(state) == [k for k, v in want.items() if v]
+            assert all(sorted(a.ends(state, k)) == v for k, v in want.items())
+
+
+def test_an_item_in_two_places_counts_with_both(spark):
+    rng = random.Random(15)
+    item, other = prose(rng, 100), prose(rng, 60)
+    docs = spark.createDataFrame([(1, "start " + item[:45] + " | " + other + " | " + item[50:] + " end"), (1, "short"), (2, "start " + item[:45] + " end")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    n = len(leaks._compared(pa.array([item]))[0])
+    got = {r.doc_id: r for r in leaks.leak_report(docs, items, run_length=30).collect()}
+    part = sum(len(leaks._compared(pa.array([x]))[0]) for x in (item[:45], item[50:]))
+    assert got[1].item_coverage == pytest.approx(part / n, abs=1e-5) and got[1].exceeds and got[1].runs == 2
+    assert not got[2].exceeds
+    clean = leaks.without_leaks(docs, items, run_length=30).filter("doc_id = 1 and removed_chars > 0").collect()
+    assert len(clean) == 1 and clean[0].text.startswith("start ") and clean[0].text.endswith(" end") and other in clean[0].text
+    assert leaks.leaked_items(clean := leaks.without_leaks(docs, items, run_length=30), items, 60).count() == 0 and clean.count() == 3
 
 
 def test_mixture(spark):
