@@ -20,9 +20,9 @@ NOISE_TAGS = ("script", "style", "nav", "footer", "header", "aside", "button", "
 NOISE_CLASSES = ("breadcrumb", "toc", "sidebar", "pagination", "feedback", "edit-page", "nav", "footer", "anchor-link")
 
 
-def container(html: Column) -> Column:
-    """The inner HTML of the first ``article``, else ``main``; null if there is neither."""
-    out = [F.regexp_extract(html, rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1) for t in ("article", "main")]
+def container(html: Column, body: bool = False) -> Column:
+    """The inner HTML of the first ``article``, else ``main``, else with ``body`` the page's; null if there is none."""
+    out = [F.regexp_extract(html, rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1) for t in ("article", "main", "body")[: 3 if body else 2]]
     return F.coalesce(*[F.when(x != "", x) for x in out])
 
 

@@ -128,6 +128,16 @@ def front_matter(pairs: dict[str, Column], body: Column) -> Column:
     return F.concat(F.lit("---\n"), *rows, F.lit("---\n\n"), body)
 
 
+def sorted_json(c: Column, indent: bool = False) -> Column:
+    """A map of texts as JSON with its keys in order, signs beyond ASCII as they are; indented by two spaces on request."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))), {"pretty": "true"} if indent else {})
+
+
+def parsed_json(c: Column, schema: str = "map<string,string>") -> Column:
+    """A JSON text as a value of the schema; null where it is broken."""
+    return F.from_json(c, schema)
+
+
 FRONT = r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)"
 
 

@@ -68,15 +68,15 @@ def recall(queries: DataFrame, corpus: DataFrame, k: int = 20, filters: dict[str
 
     ``queries`` has ``query_id, embedding`` and, with ``filters``, a ``filter`` that names
     the condition on the corpus to be met; conditions are applied before the top ``k``.
-    Ties go to the least id.  Vectors that are null, of norm 0 or of another dimension match nothing.
+    Ties go to the least id.  Vectors that are null or of norm 0 match nothing, others only
+    those of their own dimension.
     """
     parts, held = [], {}
     named = queries if "filter" in queries.columns else queries.withColumn("filter", F.lit(None).cast("string"))
     empty = corpus.sparkSession.createDataFrame([], "query_id long, id long, cosine double")
 
-    def flush(name: str | None):
-        rows = held.pop(name)
-        dims = max(len(v) for _, v in rows)
+    def flush(group: tuple[str | None, int]):
+        rows, (name, dims) = held.pop(group), group
         q, ok = _matrix(pa.array([v for _, v in rows], pa.list_(pa.float64())), dims)
         names = np.array([i for i, _ in rows], np.int64)[ok]
         if len(names):
@@ -85,11 +85,12 @@ def recall(queries: DataFrame, corpus: DataFrame, k: int = 20, filters: dict[str
             parts.append(src.mapInArrow(_best(names, names, q[ok], k), "query_id long, id long, cosine double"))
 
     for r in named.select("query_id", "embedding", "filter").filter("embedding is not null and size(embedding) > 0").toLocalIterator():
-        held.setdefault(r[2], []).append((r[0], r[1]))
-        if len(held[r[2]]) >= block:
-            flush(r[2])
-    for name in list(held):
-        flush(name)
+        group = (r[2], len(r[1]))
+        held.setdefault(group, []).append((r[0], r[1]))
+        if len(held[group]) >= block:
+            flush(group)
+    for group in list(held):
+        flush(group)
     out = empty
     for p in parts:
         out = out.unionByName(p)

@@ -38,7 +38,32 @@ def requests(queries: DataFrame) -> DataFrame:
         "top_k": F.col("top_k").isNotNull() & ~F.col("top_k").between(1, MOST_K),
     }
     invalid = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))
-    return queries.select("query_id", tx.strip(F.col("query")).alias("query"), "doc_type", F.coalesce(F.col("top_k").cast("int"), F.lit(TOP_K)).alias("top_k"), invalid.alias("invalid"))
+    return queries.select("query_id", tx.strip(F.col("query")).alias("query"), "doc_type", F.coalesce(F.col("top_k").try_cast("int"), F.lit(TOP_K)).alias("top_k"), invalid.alias("invalid"))
+
+
+#: A request's keys and the types their values may have.
+REQUEST = {"query": ("STRING",), "doc_type": ("STRING", "VOID"), "top_k": ("BIGINT", "VOID")}
+
+
+def json_requests(raw: DataFrame) -> DataFrame:
+    """``query_id, query, doc_type, top_k, invalid`` from ``query_id, request``, a JSON text each; :func:`requests` with strict types.
+
+    Broken JSON, keys beyond :data:`REQUEST` and values of another type, ``"3"`` or ``3.0``
+    for a number among them, are rules of their own.  A missing ``top_k`` takes the default,
+    an explicit null breaks the contract.
+    """
+    v = raw.select("query_id", F.try_parse_json("request").alias("v"), F.from_json("request", "map<string,string>").alias("m"))
+    kind = {k: F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")) for k in REQUEST}
+    there = {k: F.coalesce(F.array_contains(F.map_keys("m"), k), F.lit(False)) for k in REQUEST}
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    broken = [F.when(~is_object, F.lit("json")), F.when(is_object & (F.size(F.array_except(F.map_keys("m"), F.array(*map(F.lit, REQUEST)))) > 0), F.lit("unknown_key"))]
+    broken += [F.when(is_object & there[k] & ~F.coalesce(kind[k].isin(*(t for t in kinds if k != "top_k" or t != "VOID")), F.lit(False)), F.lit(f"type_{k}")) for k, kinds in REQUEST.items()]
+    typed = v.select(
+        "query_id", F.array_compact(F.array(*broken)).alias("broken"), F.try_variant_get("v", "$.query", "string").alias("query"),
+        F.try_variant_get("v", "$.doc_type", "string").alias("doc_type"), F.when(kind["top_k"] == "BIGINT", F.try_variant_get("v", "$.top_k", "long")).alias("top_k"),
+    )
+    checked = requests(typed).join(typed.select("query_id", "broken"), "query_id")
+    return checked.select("query_id", "query", "doc_type", "top_k", F.array_union("broken", "invalid").alias("invalid"))
 
 
 def current_chunks(chunks: DataFrame) -> DataFrame:
@@ -49,15 +74,18 @@ def current_chunks(chunks: DataFrame) -> DataFrame:
 CANDIDATE = ["doc_id", "doc_type", "title", "section", "chunk_index", "source", "component", "source_url", "snapshot_id", "text"]
 
 
-def candidates(reqs: DataFrame, scored: DataFrame, chunks: DataFrame) -> DataFrame:
+def candidates(reqs: DataFrame, scored: DataFrame, chunks: DataFrame, strict: bool = False) -> DataFrame:
     """Scored rows of valid requests with their chunk; a request's filter holds before anything is ranked.
 
-    ``chunks`` has one row per id; one that isn't there leaves nulls, which the checks report.
+    ``chunks`` has one row per id; one that isn't there leaves nulls, which the checks
+    report, as they do scores that aren't numbers.  ``strict`` is for scores of candidates
+    that were recalled under the filter: one of another kind is then a contradiction that
+    the checks report, and isn't left out.
     """
-    rows = scored.select("query_id", "recall_rank", "chunk_id", F.col("score").cast("double").alias("score")).distinct()
+    rows = scored.select("query_id", "recall_rank", "chunk_id", F.col("score").try_cast("double").alias("score")).distinct()
     good = reqs.filter(F.size("invalid") == 0).select("query_id", F.col("doc_type").alias("wanted"), "top_k")
     c = rows.join(good, "query_id").join(chunks.select("chunk_id", *CANDIDATE), "chunk_id", "left")
-    return c.filter(F.col("wanted").isNull() | F.col("doc_type").isNull() | (F.col("doc_type") == F.col("wanted")))
+    return c if strict else c.filter(F.col("wanted").isNull() | F.col("doc_type").isNull() | (F.col("doc_type") == F.col("wanted")))
 
 
 def _empty(name: str) -> Column:
@@ -71,6 +99,7 @@ def violations(c: DataFrame) -> DataFrame:
         "text": F.col("chunk_id").isNull() | _empty("chunk_id") | tx.blank(F.col("text")),
         "identity": _empty("doc_id") | _empty("section") | _empty("doc_type"),
         "doc_type": ~F.col("doc_type").isin(*DOC_TYPES),
+        "filter": F.col("doc_type") != F.col("wanted"),
         "score": ~tx.finite(F.col("score")),
         "technology": technology & (_empty("title") | _empty("source") | _empty("component") | _empty("source_url") | F.coalesce(F.col("chunk_index") < 0, F.lit(True))),
         "snapshot_id": ~technology & F.coalesce(~F.col("snapshot_id").rlike(SNAPSHOT), F.lit(True)),
@@ -109,9 +138,13 @@ def ranked(c: DataFrame) -> DataFrame:
 def with_parents(winners: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Winners completed by their full document, and ``query_id, rule`` of those whose parent is missing or incomplete.
 
-    Parents are read for winners only: the join runs after the top ``k``.
+    Parents are read for winners only: their few keys meet the parents first, so no other
+    body is grouped or moved.  Where parents have an ``id``, it must be that of the document.
     """
-    p = parents.groupBy("snapshot_id", "doc_id").agg(F.max(F.struct(F.lit(1).alias("found"), F.col("doc_type").alias("p_type"), F.col("title").alias("p_title"), F.col("source").alias("p_source"), F.col("body").alias("p_body"))).alias("p"))
+    needed = winners.filter(F.col("content_mode") == "full").select("snapshot_id", "doc_id").distinct()
+    parents = parents.join(needed, ["snapshot_id", "doc_id"], "left_semi")
+    own = F.col("id") if "id" in parents.columns else F.col("doc_id")
+    p = parents.withColumn("p_id", own).groupBy("snapshot_id", "doc_id").agg(F.max(F.struct(F.lit(1).alias("found"), F.col("doc_type").alias("p_type"), F.col("title").alias("p_title"), F.col("source").alias("p_source"), F.col("body").alias("p_body"), "p_id")).alias("p"))
     w = winners.join(p, ["snapshot_id", "doc_id"], "left").select("*", "p.*").drop("p")
     full = F.col("content_mode") == "full"
     rule = (
@@ -119,10 +152,11 @@ def with_parents(winners: DataFrame, parents: DataFrame) -> tuple[DataFrame, Dat
         .when(F.col("found").isNull(), "parent_missing")
         .when(_empty("p_body") | _empty("p_title") | _empty("p_source"), "parent_incomplete")
         .when(F.coalesce(F.col("p_type") != F.col("doc_type"), F.lit(True)), "parent_type")
+        .when(F.coalesce(F.col("p_id") != F.col("doc_id"), F.lit(True)), "parent_id")
     )
     bad = w.select("query_id", rule.alias("rule")).filter("rule is not null").distinct()
     done = w.withColumns({"title": F.coalesce("title", "p_title"), "source": F.coalesce("source", "p_source"), "content": F.coalesce("content", "p_body")})
-    return done.drop("found", "p_type", "p_title", "p_source", "p_body"), bad
+    return done.drop("found", "p_type", "p_title", "p_source", "p_body", "p_id"), bad
 
 
 def admitted(items: DataFrame, budget: int = CONTENT_CHARS) -> DataFrame:
@@ -144,14 +178,14 @@ def admitted(items: DataFrame, budget: int = CONTENT_CHARS) -> DataFrame:
 ITEM = ["query_id", "rank", "content_mode", "doc_id", "doc_type", "title", "source", "score", "content", "snapshot_id", "matched_sections", "chunk_id", "component", "source_url", "section", "chunk_index"]
 
 
-def answer(queries: DataFrame, scored: DataFrame, chunks: DataFrame, parents: DataFrame, budget: int = CONTENT_CHARS) -> tuple[DataFrame, DataFrame]:
+def answer(queries: DataFrame, scored: DataFrame, chunks: DataFrame, parents: DataFrame, budget: int = CONTENT_CHARS, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Items (:data:`ITEM`) of all requests, and ``query_id, status, reasons, notices`` of each.
 
     Status: ``invalid`` (the request breaks the contract), ``unavailable`` (candidates or
     parents do), ``ok``.
     """
     reqs = requests(queries)
-    c = staged(candidates(reqs, scored, chunks), "candidates")  # read by the checks, both rankings and the notices
+    c = staged(candidates(reqs, scored, chunks, strict), "candidates")  # read by the checks, both rankings and the notices
     bad = violations(c).select("query_id", "rule")
     good = c.join(bad.select("query_id").distinct(), "query_id", "left_anti")
     items, lost = with_parents(ranked(good), parents)

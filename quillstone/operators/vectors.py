@@ -24,7 +24,7 @@ SAMPLE_ROWS, MOST_CELLS, SLICE_ROWS = 20_000, 4096, 20_000
 def fit(
     corpus: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE_ROWS, rounds: int = 8, seed: int = 0, k: int = 20, target: float = 0.97
 ) -> tuple[np.ndarray, int]:
-    """Unit cell centres by spherical k-means over at most ``sample_rows`` rows, drawn by a hash of their ids.
+    """Unit cell centres, of the commonest dimension, by spherical k-means over at most ``sample_rows`` rows, drawn by a hash of their ids.
 
     Also how many cells a query has to look into: the fewest with which up to 256 rows of
     the sample find ``target`` of their ``k`` nearest in the sample.
@@ -38,7 +38,8 @@ def fit(
     col = t["embedding"].combine_chunks()
     import pyarrow.compute  # noqa: F401
 
-    dim = int(pa.compute.max(pa.compute.list_value_length(col)).as_py())
+    sizes = np.asarray(pa.compute.list_value_length(col))
+    dim = int(np.bincount(sizes).argmax())  # of most rows
     m, ok = _matrix(col, dim)
     m = m[ok]
     if not len(m):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as hx
 from ..functions import text as tx
-from ..operators import browse, chunking, ordering, recall, retrieval, vectors
+from ..operators import browse, chunking, ordering, recall, retrieval, sections, vectors
 from ..sources import documents as docs
 from . import pipeline, preparation
 from ..sources import index
@@ -104,6 +104,31 @@ _ITEMS = f"""{_RANKED}, par as (select snapshot_id, doc_id, max(struct_pack(doc_
   items as (select * from won where query_id not in (select query_id from lost))"""
 
 
+def _marked(source: str, key: str, text: str, split: str) -> str:
+    """Lines ``key, i, line, code`` of all texts: a recursive walk carries the state of the code fence from line to line."""
+    return rf"""ls as (select {key} as key, {split} as ls from {source} where length({text}) > 0),
+  ln as (select key, unnest(ls) as line, generate_subscripts(ls, 1) as i from ls),
+  fe as (select key, i, line, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})(?s:.*)$', 1) as mark, {_blank("regexp_extract(line, '^ {0,3}(?:`{3,}|~{3,})((?s:.*))$', 1)")} as bare from ln),
+  walk as (select distinct key, 0::bigint as i, '' as mark, '' as line, false as code from ls
+    union all select w.key, f.i, case when w.mark = '' then f.mark when f.mark <> '' and left(f.mark, 1) = left(w.mark, 1) and length(f.mark) >= length(w.mark) and f.bare then '' else w.mark end,
+      f.line, w.mark <> '' or f.mark <> '' from walk w join fe f on f.key = w.key and f.i = w.i + 1),
+  hd as (select key, i, line, code, case when not code then length(regexp_extract(line, '^ {{0,3}}(#{{1,6}}){_WS}+(.+?){_WS}*#*{_WS}*$', 1)) else 0 end as level,
+    regexp_extract(line, '^ {{0,3}}(#{{1,6}}){_WS}+(.+?){_WS}*#*{_WS}*$', 2) as name from walk where i > 0)"""
+
+
+def _split(text: str) -> str:
+    return f"string_split_regex(regexp_replace({text}, '(?:{_NL})$', ''), '{_NL}')"
+
+
+_SECTIONS = f"""{_marked('ingest', 'row_id', 'body', _split('body'))},
+  top as (select key, min(i) as i from hd where level = 1 group by 1),
+  ti as (select t.key, t.i as at, h.name as title from top t join hd h using (key, i)),
+  no as (select h.key, h.i, h.line, h.level, h.name, t.title, sum(case when h.level = 2 then 1 else 0 end) over (partition by h.key order by h.i rows unbounded preceding) as n, h.i = t.at as top from hd h join ti t using (key)),
+  raw as (select key, title, n, coalesce(max(case when level = 2 then name end), '概述') as section,
+    regexp_replace(string_agg(case when level <> 2 and not top then line end, chr(10) order by i), '^\n+|\n+$', '', 'g') as content from no group by key, title, n),
+  sections as (select key as row_id, title, (row_number() over (partition by key order by n) - 1)::int as section_no, section, content from raw where not {_blank('content')})"""
+
+
 def _fit(budget: int) -> str:
     """The greedy admission as a recursive query: one rank after the other."""
     return f"""{_ITEMS}, walk as (
@@ -228,9 +253,9 @@ def q10_link_index(spark, d):
   e as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as line_no from l)
   select doc_id, line_no::int as line_no, line, (lead(line_no, 1, null) over (partition by doc_id order by line_no))::int as next_line from e""")
 def q11_line_numbers(spark, d):
-    e = read(spark, d, "documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("p", "line"))
-    e = e.select("doc_id", (F.col("p") + 1).alias("line_no"), "line")
-    return e.withColumn("next_line", F.lead("line_no").over(W.partitionBy("doc_id").orderBy("line_no")))
+    """The next line is known within the array of a text's lines; nothing is shuffled."""
+    e = read(spark, d, "documents").select("doc_id", F.explode(F.array(tx.lines(F.col("text")))).alias("ls")).select("doc_id", F.size("ls").alias("n"), F.posexplode("ls").alias("p", "line"))
+    return e.select("doc_id", (F.col("p") + 1).alias("line_no"), "line", F.when(F.col("p") + 1 < F.col("n"), F.col("p") + 2).alias("next_line"))
 
 
 @query(rf"""with l as (select doc_id, string_split_regex(regexp_replace(text, '(?:{_NL})$', ''), '{_NL}') as ls from documents where length(text) > 0),
@@ -238,11 +263,8 @@ def q11_line_numbers(spark, d):
   s as (select doc_id, line_no, line, sum(case when regexp_matches(line, '^ {{0,3}}#{{1,6}}[ \t]') then 1 else 0 end) over (partition by doc_id order by line_no rows unbounded preceding) as section_no from e)
   select doc_id, section_no::bigint as section_no, min(line_no)::int as first_line, count(*) as lines, sum(length(line))::bigint as chars from s group by 1, 2""")
 def q12_boundary_sections(spark, d):
-    e = read(spark, d, "documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("p", "line"))
-    head = F.when(F.col("line").rlike(r"^ {0,3}#{1,6}[ \t]"), 1).otherwise(0)
-    w = W.partitionBy("doc_id").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
-    s = e.withColumn("section_no", F.sum(head).over(w))
-    return s.groupBy("doc_id", "section_no").agg((F.min("p") + 1).alias("first_line"), F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+    """Sections are cut out of the array of a text's lines; nothing is shuffled."""
+    return sections.marked_sections(read(spark, d, "documents"), "doc_id", "text", r"^ {0,3}#{1,6}[ \t]")
 
 
 @query(f"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？；.!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') as s from documents)
@@ -400,6 +422,13 @@ def q28_consistency_violations(spark, d):
     return retrieval.violations(_candidates(spark, d))
 
 
+@query("""select row_id, '{' || array_to_string(list_transform(list_sort(map_keys(extra)), lambda k: to_json(k) || ':' || to_json(extra[k])), ',') || '}' as extra_json, len(map_keys(extra))::int as keys from ingest where extra is not null""")
+def q29_sorted_json(spark, d):
+    """The further metadata of each record as JSON in the order of its keys, and read back."""
+    r = read(spark, d, "ingest").filter("extra is not null").select("row_id", tx.sorted_json(F.col("extra")).alias("extra_json"))
+    return r.select("row_id", "extra_json", F.size(tx.parsed_json(F.col("extra_json"))).alias("keys"))
+
+
 @query(f"""with leaf as (select snapshot_id, {_digest_sql(index.PARENT_COLUMNS)} as h from parents),
   inner_ as (select snapshot_id, substr(h, 1, 3) as b, count(*) as n, sha256(string_agg(h, '' order by h)) as h from leaf group by 1, 2)
   select snapshot_id, sum(n)::bigint as documents, sha256(string_agg(b || h, '' order by b || h)) as digest from inner_ group by 1""")
@@ -417,14 +446,16 @@ def q30_filenames(spark, d):
     return p.select("row_id", F.concat(no, tx.filename_spaced(F.col("t")), F.lit(".md")).alias("spaced"), F.concat(no, tx.filename_dashed(F.col("t")), F.lit(".md")).alias("dashed"))
 
 
-@query()
+@query(rf"""with recursive b as (select row_id, body || chr(10) || chr(10) || '![图](a.png)' || chr(10) || '[参数](https://a.example/x) 见 `x`' as body from ingest), {_marked('b', 'row_id', 'body', "string_split(body, chr(10))")},
+  j as (select key, string_agg(case when code then line else regexp_replace(regexp_replace(line, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') end, chr(10) order by i) as t from hd group by 1)
+  select b.row_id, md5(regexp_replace(j.t, '\n{{3,}}', chr(10) || chr(10), 'g')) as digest from b left join j on j.key = b.row_id""")
 def q31_markdown_links(spark, d):
     """Bodies with links and images put in, and taken out again outside code."""
     b = read(spark, d, "ingest").select("row_id", F.concat("body", F.lit("\n\n![图](a.png)\n[参数](https://a.example/x) 见 `x`")).alias("body"))
     return b.select("row_id", F.md5(tx.squeeze(chunking.unlinked("body"))).alias("digest"))
 
 
-@query()
+@query(f"with recursive {_SECTIONS} select row_id, title, section_no, section, content from sections")
 def q32_split_sections(spark, d):
     return chunking.section_rows(read(spark, d, "ingest"), "row_id", "body").withColumnRenamed("id", "row_id")
 
@@ -436,7 +467,9 @@ def q32_chunk_rows(spark, d):
     return chunking.chunk_rows(valid)
 
 
-@query()
+@query(rf"""with recursive {_marked('documents', 'doc_id', 'text', _split('text'))},
+  no as (select key, i, line, level, name, sum(case when level = 1 then 1 else 0 end) over (partition by key order by i rows unbounded preceding) as n from hd)
+  select key as doc_id, n::int as file_no, max(case when level = 1 then name end) as title, {_strip("regexp_replace(string_agg(line, chr(10) order by i), '\n{3,}', chr(10) || chr(10), 'g')")} as content from no where n > 0 group by key, n""")
 def q32_level1_files(spark, d):
     return chunking.level1_files(read(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -498,6 +531,27 @@ def q36_requests(spark, d):
     return retrieval.requests(read(spark, d, "queries")).select("query_id", "query", "top_k", F.array_join("invalid", ",").alias("invalid"))
 
 
+@query(f"""with raw as (select query_id, query, doc_type, top_k, query_id % 6 as k from queries where query is not null),
+  b as (select *, case k when 0 then ['type_top_k'] when 1 then ['unknown_key'] when 2 then ['type_query'] when 3 then [] when 4 then ['json'] else ['type_top_k'] end as broken,
+    case when k = 4 then null when k = 2 then '7' else query end as q, case when k = 5 then doc_type end as dt, case when k = 3 then coalesce(top_k, 3) when k = 1 then 3 end as tk from raw),
+  i as (select *, list_filter([case when coalesce(length(q) > 2000, true) or {_blank('q')} then 'query' end, case when dt is not null and dt not in ('architecture', 'runbook', 'technology') then 'doc_type' end,
+    case when tk is not null and tk not between 1 and 5 then 'top_k' end], lambda e: e is not null) as invalid from b)
+  select query_id, {_strip('q')} as query, coalesce(tk, 3)::int as top_k, array_to_string(list_concat(broken, invalid), ',') as invalid from i""")
+def q36_json_requests(spark, d):
+    """Requests as JSON texts, some of which break the contract."""
+    r, k = read(spark, d, "queries").filter("query is not null"), F.col("query_id") % 6
+    text = {c: F.substring(F.to_json(F.struct(F.col(c).alias("x"))), 6, 1 << 30) for c in ("query", "doc_type")}
+    text = {c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_replace(v, r"\}\z", "")) for c, v in text.items()}
+    lit = F.lit
+    request = (
+        F.when(k == 0, F.concat(lit('{"query": '), text["query"], lit(', "top_k": "3"}'))).when(k == 1, F.concat(lit('{"query": '), text["query"], lit(', "top_k": 3, "limit": 1}')))
+        .when(k == 2, lit('{"query": 7, "doc_type": null}')).when(k == 3, F.concat(lit('{"query": '), text["query"], lit(', "top_k": '), F.coalesce(F.col("top_k"), lit(3)).cast("string"), lit("}")))
+        .when(k == 4, lit('{"query": "broken')).otherwise(F.concat(lit('{"query": '), text["query"], lit(', "doc_type": '), text["doc_type"], lit(', "top_k": 2.5}')))
+    )
+    got = retrieval.json_requests(r.select("query_id", request.alias("request")))
+    return got.select("query_id", "query", "top_k", F.array_join("invalid", ",").alias("invalid"))
+
+
 @query(f"""with recursive {_fit(16000)} select i.query_id, i.rank::int as rank, i.content_mode, i.doc_id, i.doc_type, i.full_title as title, i.score, i.sections, i.chunk_id, md5(i.body_) as digest
   from items i join fit f using (query_id) where contains(',' || f.kept, ',' || i.rank || ',')""")
 def q37_search_items(spark, d):

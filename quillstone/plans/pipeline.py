@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DocumentInvalid
+from ..errors import DocumentInvalid, KnowledgeUnavailable
 from ..operators import chunking, recall
 from ..operators import retrieval as rt
 from ..sources import documents as docs
@@ -79,13 +79,17 @@ def ingest(
 
 def search(
     spark: SparkSession, root: str, queries: DataFrame, embed: Embedder = hashed_vectors, rerank: Reranker = rt.lexical_rerank, recall_k: int = rt.RECALL,
-    budget: int = rt.CONTENT_CHARS,
+    budget: int = rt.CONTENT_CHARS, model: dict | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Items and states of a batch of requests against the index; see :func:`retrieval.answer`.
 
-    Raises where there is no index. An empty one answers with its notice.
+    Raises where there is no index, or where it was built with another model than ``model``,
+    by default the stand-in with its own embedder. An empty one answers with its notice.
     """
     manifest = index.read_manifest(spark, root)
+    model = model or (STAND_IN if embed is hashed_vectors else None)
+    if manifest.get("model") and manifest["model"] != model:
+        raise KnowledgeUnavailable(f"the index was built with {manifest['model']}, not with {model}")
     chunks = index.read_chunks(spark, root, vectors=True)
     good = rt.requests(queries).filter(F.size("invalid") == 0)
     prefixed = good.select(F.col("query_id").alias("id"), F.concat(F.lit(recall.INSTRUCTION), "query").alias("text"))
@@ -99,7 +103,7 @@ def search(
         parents = index.sound_parents(spark, root, manifest["snapshot_id"])
     else:
         parents = spark.createDataFrame([], "snapshot_id string, doc_id string, doc_type string, title string, source string, body string")
-    items, states = rt.answer(queries, scored, chunks.drop("embedding"), parents, budget)
+    items, states = rt.answer(queries, scored, chunks.drop("embedding"), parents, budget, strict=True)
     if not manifest["chunks"]:
         empty = F.when(F.col("status") == "ok", F.array(F.lit(rt.DISCLAIMER), F.lit(rt.NOTHING_INDEXED))).otherwise(F.col("notices"))
         states = states.withColumn("notices", empty)

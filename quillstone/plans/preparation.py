@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as hx
@@ -10,6 +10,11 @@ from ..functions import text as tx
 from ..operators import chunking
 
 
+def listed(spark: SparkSession, pages: list[tuple[str, str]]) -> DataFrame:
+    """A fixed list of pages ``(title, url)`` as ``ordinal, title, url``, in its order and counted from 1."""
+    return spark.createDataFrame([(k + 1, *p) for k, p in enumerate(pages)], "ordinal int, title string, url string")
+
+
 def configured(config: DataFrame, files: DataFrame) -> DataFrame:
     """Each configured source with its file's text; ``missing`` where there is no such file, which isn't an error."""
     found = files.select("source", "text", F.lit(True).alias("found"))

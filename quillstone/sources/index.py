@@ -124,7 +124,7 @@ def sync(spark: SparkSession, root: str, chunks: DataFrame, parents: DataFrame |
     """Makes the index hold exactly ``chunks``; parents become a snapshot named by their digest.
 
     ``chunks`` may hold an ``embedding`` column.  Order: snapshot, new version, manifest.
-    What is left of older versions isn't read any more and may be removed at leisure.
+    What is left of older versions isn't read any more; :func:`prune` removes it.
     """
     snapshot = None
     if parents is not None:
@@ -153,6 +153,22 @@ def sync(spark: SparkSession, root: str, chunks: DataFrame, parents: DataFrame |
     return SyncReport(total, n.get("inserted", 0), n.get("updated", 0), n.get("unchanged", 0), n.get("deleted", 0), snapshot, version)
 
 
+def prune(spark: SparkSession, root: str) -> list[str]:
+    """Removes versions and snapshots that the manifest doesn't name; their names.
+
+    Not while a reader that began before the last sync may still be at work.
+    """
+    m, gone = read_manifest(spark, root), []
+    for folder, kept in (("chunks", f"version={m['version']}"), ("parents", f"snapshot_id={m.get('snapshot_id')}")):
+        fs, path = _fs(spark, f"{root}/{folder}")
+        for entry in fs.listStatus(path) if fs.exists(path) else []:
+            name = entry.getPath().getName()
+            if "=" in name and name != kept:
+                fs.delete(entry.getPath(), True)
+                gone.append(f"{folder}/{name}")
+    return sorted(gone)
+
+
 def status(spark: SparkSession, root: str) -> DataFrame:
     """One row: whether an index is there, its size and version."""
     try:

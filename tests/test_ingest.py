@@ -234,3 +234,33 @@ def test_file_names(spark):
     d = spark.createDataFrame([(' a/b: "c"  d - ', 7), ("x", 123)], "t string, n int")
     got = d.select(tx.filename_spaced(F.col("t")), tx.filename_dashed(F.col("t")), tx.ordinal(F.col("n"))).collect()
     assert tuple(got[0]) == ("a-b- -c- d", "a-b---c--d", "07") and got[1][2] == "123"
+
+
+def test_the_shared_folder_is_the_session_s_and_staged_tables_go(spark):
+    from pathlib import Path
+
+    from quillstone.sources import staging
+
+    folder = staging.shared_folder(spark)
+    assert folder == staging.shared_folder(spark)
+    staging.clear(spark)
+    assert staging.staged(spark.range(3), "some").count() == 3
+    assert [p.name for p in Path(folder.removeprefix("file://")).iterdir() if p.name.startswith("some-")]
+    assert staging.clear(spark) == 1 and not [p for p in Path(folder.removeprefix("file://")).iterdir() if p.name.startswith("some-")]
+
+
+def test_limits_of_a_model():
+    assert ch.token_limit(512, 10**30) == 512
+    with pytest.raises(ValueError):
+        ch.token_limit(0, 512)
+
+
+def test_a_tokenizer_file_counts_with_special_tokens():
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    pytest.importorskip("tokenizers")
+    if not __import__("os").path.exists(path):
+        pytest.skip("no tokenizer file")
+    count, most = ch.tokenizer_from(path, {"max_seq_length": 64, "model_max_length": 128})
+    assert most == 64 and count("") == 0 and count("a b c") == 3
+    got = ch.split_section("T", "s", "one two three four. " * 60, count, most)
+    assert len(got) > 4 and all(count(formatted("T", path, text)) <= most for path, text in got)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.errors import DocumentInvalid, IndexMissing
+from quillstone.errors import DocumentInvalid, IndexMissing, KnowledgeUnavailable
 from quillstone.operators import retrieval as rt
 from quillstone.plans import pipeline, preparation
 
@@ -79,3 +79,35 @@ def test_a_damaged_snapshot_is_not_served(spark, tmp_path):
     damaged = spark.createDataFrame(spark.read.parquet(str(where)).withColumn("body", F.lit("other")).collect(), "doc_id string, doc_type string, title string, source string, body string")
     damaged.write.mode("overwrite").parquet(str(where))
     assert pipeline.search(spark, root, q)[1].first().status != "ok"
+
+
+def test_an_index_of_another_model_is_not_searched(spark, tmp_path):
+    folder, root = tmp_path / "doc", f"file://{tmp_path}/index"
+    write(folder, "redis.md", {"doc_type": "technology", "component": "redis", "source_url": "https://a.example/x"}, "# Redis\n\n## 延迟\n\nredis latency 测量")
+    pipeline.ingest(spark, str(folder), root, model={"name": "large", "dim": 256})
+    q = spark.createDataFrame([(1, "redis", None, 2)], "query_id long, query string, doc_type string, top_k int")
+    with pytest.raises(KnowledgeUnavailable):
+        pipeline.search(spark, root, q)
+    assert pipeline.search(spark, root, q, model={"name": "large", "dim": 256})[1].first().status == "ok"
+
+
+def test_the_job(spark, tmp_path, capsys):
+    from quillstone.__main__ import main
+
+    folder, root = tmp_path / "doc", f"file://{tmp_path}/index"
+    project = {"id": "slow", "doc_type": "runbook", "project": "p", "service": "s", "component": "c", "deployment": "d"}
+    write(folder, "slow.md", project, "# 慢查询\n\n## 原因\n\n磁盘写满")
+    args = ["--root", str(folder), "--index", root]
+    assert main([*args, "--dry-run"], spark)["chunks"] == 1 and not (tmp_path / "index").exists()
+    assert main(args, spark)["inserted"] == 1
+    write(folder, "slow.md", project, "# 慢查询\n\n## 原因\n\n磁盘写满了")
+    done = main([*args, "--prune"], spark)
+    assert done["updated"] == 1 and len(done["pruned"]) == 2 and {p.split("/")[0] for p in done["pruned"]} == {"chunks", "parents"}
+    assert len(list((tmp_path / "index" / "chunks").iterdir())) == 1 and json.loads(capsys.readouterr().out.split("}\n")[0] + "}")
+    with pytest.raises(ValueError):
+        main([*args, "--max-tokens", "0"], spark)
+
+
+def test_pages_in_their_order(spark):
+    got = preparation.listed(spark, [("甲", "https://a.example/1"), ("乙", "https://a.example/2")]).orderBy("ordinal").collect()
+    assert [tuple(r) for r in got] == [(1, "甲", "https://a.example/1"), (2, "乙", "https://a.example/2")]

@@ -194,6 +194,59 @@ def test_index_recall(spark):
     assert vectors.search(queries, vectors.assigned(corpus, nothing), nothing).count() == 0
 
 
+def test_a_deep_page_comes_from_the_sorted_copy(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "NEAR_ROWS", 0)
+    rows = [(random.Random(i).randint(0, 9), i) for i in range(500)]
+    d = spark.createDataFrame(rows, "k int, id int").repartition(7)
+    for number in (1, 13, 14, 25, 26):
+        got = ordering.page(d, [F.col("k"), F.col("id")], number, 20).orderBy("row_no").collect()
+        start = 20 * (number - 1) if number < 26 else 0
+        assert [r.row_no for r in got] == list(range(start + 1, start + 21)) and [(r.k, r.id) for r in got] == sorted(rows)[start : start + 20]
+
+
+def test_queries_of_several_dimensions_find_their_own(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0])], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.0, 0.2]), (3, [1.0])], "query_id long, embedding array<double>")
+    assert {(r.query_id, r.id) for r in recall.recall(queries, corpus, 5).collect()} == {(1, 1), (1, 2), (2, 3)}
+
+
+def test_strict_candidates_and_scores_that_are_no_numbers(spark):
+    q, s, c, p = setup(spark, [*BASE, technology("t1")], [("a1", 0.9), ("t1", 0.95)], doc_type="technology", top_k=1)
+    assert rt.answer(q, s, c, p, strict=True)[1].first().reasons == ["filter"]
+    s = s.withColumn("score", F.when(F.col("chunk_id") == "t1", "0.95").otherwise("high"))
+    assert [r.chunk_id for r in rt.search_one(q, s, c, p).collect()] == ["t1"]
+    q = q.withColumn("doc_type", F.lit(None).cast("string"))
+    assert rt.answer(q, s, c, p)[1].first().reasons == ["score"]
+
+
+def test_a_parent_with_another_id_is_not_served(spark):
+    q, s, c, p = setup(spark, BASE, [("a1", 0.9)])
+    assert rt.search_one(q, s, c, p.withColumn("id", F.col("doc_id"))).count() == 1
+    with pytest.raises(KnowledgeUnavailable, match="parent_id"):
+        rt.search_one(q, s, c, p.withColumn("id", F.lit("other")))
+
+
+@pytest.mark.parametrize(
+    ("text", "invalid"),
+    [
+        ('{"query": "q", "top_k": 2}', []), ('{"query": "q", "doc_type": null}', []), ('{"query": "q", "top_k": "2"}', ["type_top_k"]), ('{"query": "q", "top_k": 2.0}', ["type_top_k"]),
+        ('{"query": "q", "top_k": true}', ["type_top_k"]), ('{"query": "q", "top_k": null}', ["type_top_k"]), ('{"query": "q", "limit": 2}', ["unknown_key"]), ('{"query": 5}', ["type_query"]),
+        ("{}", ["query"]), ('["q"]', ["json", "query"]), ("{", ["json", "query"]), (None, ["json", "query"]), ('{"query": "q", "top_k": 9}', ["top_k"]), ('{"query": "q", "doc_type": "faq"}', ["doc_type"]),
+    ],
+)
+def test_json_requests(spark, text, invalid):
+    got = rt.json_requests(spark.createDataFrame([(1, text)], "query_id long, request string")).first()
+    assert got.invalid == invalid
+
+
+def test_body_as_container_and_json(spark):
+    from quillstone.functions import text as tx
+
+    d = spark.createDataFrame([("<body><p>x</p></body>", {"b": "é", "a": '"'})], "h string, m map<string,string>")
+    r = d.select(hx.container(F.col("h")), hx.container(F.col("h"), body=True), tx.sorted_json(F.col("m")), tx.sorted_json(F.col("m"), indent=True), tx.parsed_json(tx.sorted_json(F.col("m")))).first()
+    assert r[0] is None and r[1] == "<p>x</p>" and r[2] == '{"a":"\\"","b":"é"}' and r[3].startswith('{\n  "a"') and r[4] == {"a": '"', "b": "é"}
+
+
 def test_positions_of_all_partitions(spark, monkeypatch):
     monkeypatch.setattr(ordering, "MOST_PARTITIONS", 1, raising=False)
     d = spark.range(200).repartition(5)
