@@ -14,7 +14,6 @@ from quillstone.llm import leaks, mixture, shared_spans
 from quillstone.llm import lookalike as la
 from quillstone.llm import near_duplicates as nd
 from quillstone.llm.rolling import gram_hashes, sliding_min
-from quillstone.sources.staging import shared_folder
 
 WORDS = ["租约", "偏移", "queue", "latch ", "回切", "shard_", "预热", "commit", "超时，", "重试。", "gate-", "负责人", "磁盘", "é", "😀", "7"]
 
@@ -265,9 +264,6 @@ def test_no_bucket_of_keys_is_large_whatever_the_weights(spark, low, high):
     assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
 
 
-def test_shared_folder_is_the_session_s(spark):
-    assert shared_folder(spark) == shared_folder(spark)
-
 
 def test_recall_at_the_limit_does_not_depend_on_the_size_of_the_table(spark, monkeypatch):
     rng = random.Random(12)
