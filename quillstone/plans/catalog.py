@@ -120,7 +120,7 @@ def _split(text: str) -> str:
     return f"string_split_regex(regexp_replace({text}, '(?:{_NL})$', ''), '{_NL}')"
 
 
-_SECTIONS = f"""{_marked('ingest', 'row_id', 'body', _split('body'))},
+SECTIONS = f"""{_marked('ingest', 'row_id', 'body', _split('body'))},
   top as (select key, min(i) as i from hd where level = 1 group by 1),
   ti as (select t.key, t.i as at, h.name as title from top t join hd h using (key, i)),
   no as (select h.key, h.i, h.line, h.level, h.name, t.title, sum(case when h.level = 2 then 1 else 0 end) over (partition by h.key order by h.i rows unbounded preceding) as n, h.i = t.at as top from hd h join ti t using (key)),
@@ -455,7 +455,7 @@ def q31_markdown_links(spark, d):
     return b.select("row_id", F.md5(tx.squeeze(chunking.unlinked("body"))).alias("digest"))
 
 
-@query(f"with recursive {_SECTIONS} select row_id, title, section_no, section, content from sections")
+@query(f"with recursive {SECTIONS} select row_id, title, section_no, section, content from sections")
 def q32_split_sections(spark, d):
     return chunking.section_rows(read(spark, d, "ingest"), "row_id", "body").withColumnRenamed("id", "row_id")
 
