@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, lookalike, mixture, near_duplicates, residue, shared_spans, splitting
+from . import leaks, lookalike, mixture, near_duplicates, residue, shared_spans, splitting, sql
 from . import tokens as tk
 
 
@@ -111,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.texts()
