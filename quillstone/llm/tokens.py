@@ -85,7 +85,7 @@ class Counter:
         known, found = self.known, collections.Counter(self.find(text))
         if len(known) > KEPT:
             known.clear()
-        for piece in found.keys() - known.keys():
+        for piece in [p for p in found if p not in known]:
             known[piece] = count_tokens(piece.encode("utf-8", "replace"), self.ranks)
         return sum(n * known[piece] for piece, n in found.items())
 
