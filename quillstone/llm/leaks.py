@@ -31,17 +31,20 @@ from . import lookalike as la
 #: Characters of one block's automata, and blocks of one pass over the corpus.
 BLOCK_CHARS = 200_000
 PASS_BLOCKS = 4
+GRAM = 8
 
 
 class Automaton:
     """A suffix automaton of several strings.
 
-    A state with one transition holds it in two flat arrays, others have a dictionary.  The
+    ``grams`` are the strings of ``GRAM`` characters that it holds: most windows without a
+    match end with another one.  A state with one transition holds it in two flat arrays, others have a dictionary.  The
     places where a state's strings end, in which string and where, are a slice of two
     arrays in the order of the tree of suffix links.
     """
 
     def __init__(self, strings: list[str]):
+        self.grams = {s[i : i + GRAM] for s in strings for i in range(len(s) - GRAM + 1)}
         self._grow: list[dict[str, int]] = [{}]
         self.link, self.size = array("i", [-1]), array("i", [0])
         ends: list[tuple[int, int, int]] = []  # state, string, characters read
@@ -137,31 +140,38 @@ def automata(strings: list[str]) -> tuple[Automaton, Automaton]:
     return _built[name]
 
 
-def touches(text: str, back: Automaton, run: int) -> bool:
-    """Whether some string shares ``run`` characters with the text."""
-    step, at_, n = back.step, 0, len(text)
+def touches(text: str, forward: Automaton, back: Automaton, run: int) -> bool:
+    """Whether some string shares ``run`` characters with the text; ``back`` is of the reversed strings."""
+    grams, at_, n, gram = forward.grams, 0, len(text), min(GRAM, run)
+    sign, goal, many, none = back.sign, back.goal, back.many, {}
     while at_ + run <= n:
-        state, j = 0, at_ + run - 1
-        while j >= at_ and state >= 0:
-            state, j = step(state, text[j]), j - 1
+        j = at_ + run
+        if gram == GRAM and text[j - gram : j] not in grams:
+            at_ = j - gram + 1
+            continue
+        state = 0
+        while j > at_ and state >= 0:
+            j -= 1
+            c = text[j]
+            state = goal[state] if sign[state] == c else many.get(state, none).get(c, -1)
         if state >= 0:
             return True
-        at_ = j + 2
+        at_ = j + 1
     return False
 
 
 def matches(text: str, forward: Automaton, run: int) -> dict[int, list[tuple[int, int, int]]]:
     """Per string the maximal places ``(start, end, state)`` of the text that it matches over at least ``run`` characters."""
-    step, link, sizes = forward.step, forward.link, forward.size
+    link, sizes, sign, goal, many, none = forward.link, forward.size, forward.sign, forward.goal, forward.many, {}
     out: dict[int, list[tuple[int, int, int]]] = {}
     held: dict[int, list[int]] = {}
     state = size = 0
     for i, c in enumerate(text):
-        after = step(state, c)
+        after = goal[state] if sign[state] == c else many.get(state, none).get(c, -1)
         while after < 0 and state:
             state = link[state]
             size = sizes[state]
-            after = step(state, c)
+            after = goal[state] if sign[state] == c else many.get(state, none).get(c, -1)
         state, size = (after, size + 1) if after >= 0 else (0, 0)
         s, length, seen = state, size, set()
         while s > 0 and length >= run:
@@ -219,7 +229,7 @@ def _scan(blocks: list[list[tuple[int, str]]], run_length: int):
             docs, rows = b.column(0).to_pylist(), []
             for doc, text in zip(docs, _compared(b.column(1))):
                 for ids, strings, forward, back in built:
-                    if not touches(text, back, run_length):
+                    if not touches(text, forward, back, run_length):
                         continue
                     for k, spans in matches(text, forward, run_length).items():
                         part = covered(spans, k, forward)

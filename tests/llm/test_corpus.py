@@ -187,7 +187,7 @@ def test_longest_matches():
     a, back = leaks.automata(["abcdefgh", "xxabcdzz", "cdefghij"])
     found = leaks.matches("--abcdefghij--", a, 4)
     assert {k: [s[:2] for s in v] for k, v in found.items()} == {0: [(2, 10)], 1: [(2, 6)], 2: [(4, 12)]}
-    assert leaks.touches("--abcdefghij--", back, 8) and not leaks.touches("--abcdefghij--", back, 9)
+    assert leaks.touches("--abcdefghij--", a, back, 8) and not leaks.touches("--abcdefghij--", a, back, 9)
     assert [leaks.covered(found[k], k, a) for k in (0, 1, 2)] == [8, 4, 8]
 
 
