@@ -104,16 +104,19 @@ _ITEMS = f"""{_RANKED}, par as (select snapshot_id, doc_id, max(struct_pack(doc_
   items as (select * from won where query_id not in (select query_id from lost))"""
 
 
-def _marked(source: str, key: str, text: str, split: str) -> str:
-    """Lines ``key, i, line, code`` of all texts: a recursive walk carries the state of the code fence from line to line."""
-    return rf"""ls as (select {key} as key, {split} as ls from {source} where length({text}) > 0),
-  ln as (select key, unnest(ls) as line, generate_subscripts(ls, 1) as i from ls),
-  fe as (select key, i, line, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})(?s:.*)$', 1) as mark, {_blank("regexp_extract(line, '^ {0,3}(?:`{3,}|~{3,})((?s:.*))$', 1)")} as bare from ln),
-  walk as (select distinct key, 0::bigint as i, '' as mark, '' as line, false as code from ls
+def _marked(source: str, key: str, text: str, split: str, p: str = "") -> str:
+    """Lines ``key, i, line, code, level, name`` of all texts as ``{p}hd``: a recursive walk carries the state of the code fence from line to line."""
+    return rf"""{p}ls as (select {key} as key, {split} as ls from {source} where length({text}) > 0),
+  {p}ln as (select key, unnest(ls) as line, generate_subscripts(ls, 1) as i from {p}ls),
+  {p}fe as (select key, i, line, regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})(?s:.*)$', 1) as mark, {_blank("regexp_extract(line, '^ {0,3}(?:`{3,}|~{3,})((?s:.*))$', 1)")} as bare from {p}ln),
+  {p}walk as (select distinct key, 0::bigint as i, '' as mark, '' as line, false as code from {p}ls
     union all select w.key, f.i, case when w.mark = '' then f.mark when f.mark <> '' and left(f.mark, 1) = left(w.mark, 1) and length(f.mark) >= length(w.mark) and f.bare then '' else w.mark end,
-      f.line, w.mark <> '' or f.mark <> '' from walk w join fe f on f.key = w.key and f.i = w.i + 1),
-  hd as (select key, i, line, code, case when not code then length(regexp_extract(line, '^ {{0,3}}(#{{1,6}}){_WS}+(.+?){_WS}*#*{_WS}*$', 1)) else 0 end as level,
-    regexp_extract(line, '^ {{0,3}}(#{{1,6}}){_WS}+(.+?){_WS}*#*{_WS}*$', 2) as name from walk where i > 0)"""
+      f.line, w.mark <> '' or f.mark <> '' from {p}walk w join {p}fe f on f.key = w.key and f.i = w.i + 1),
+  {p}hd as (select key, i, line, code, case when not code then length(regexp_extract(line, '^ {{0,3}}(#{{1,6}}){_WS}+(.+?){_WS}*#*{_WS}*$', 1)) else 0 end as level,
+    regexp_extract(line, '^ {{0,3}}(#{{1,6}}){_WS}+(.+?){_WS}*#*{_WS}*$', 2) as name from {p}walk where i > 0)"""
+
+
+_UNLINKED = r"regexp_replace(regexp_replace(line, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g')"
 
 
 def _split(text: str) -> str:
@@ -249,6 +252,15 @@ def q10_link_index(spark, d):
     return first.select("href", "f.label", tx.slug(F.col("href")).alias("slug"))
 
 
+@query(rf"""select row_id, 'https://pages.example/management/' || (row_id % 997) || '.html' as url, {_strip(f"regexp_replace(regexp_replace(coalesce(component, ''), '<[^>]*>', '', 'g'), '{_WS}+', ' ', 'g')")} as description from ingest""")
+def q10_link_details(spark, d):
+    """Each link's address relative to its page, and the paragraph after its block."""
+    href = F.concat(F.lit("../management/"), (F.col("row_id") % 997).cast("string"), F.lit(".html"))
+    html = F.concat(F.lit('<div><a href="'), href, F.lit('">x</a></div><p>'), F.coalesce("component", F.lit("")), F.lit("</p>"))
+    p = read(spark, d, "ingest").select("row_id", href.alias("href"), html.alias("html"))
+    return p.select("row_id", hx.resolved(F.lit("https://pages.example/root/index.html"), "href").alias("url"), hx.description_after("html", "href").alias("description"))
+
+
 @query(f"""with l as (select doc_id, string_split_regex(regexp_replace(text, '(?:{_NL})$', ''), '{_NL}') as ls from documents where length(text) > 0),
   e as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as line_no from l)
   select doc_id, line_no::int as line_no, line, (lead(line_no, 1, null) over (partition by doc_id order by line_no))::int as next_line from e""")
@@ -447,7 +459,7 @@ def q30_filenames(spark, d):
 
 
 @query(rf"""with recursive b as (select row_id, body || chr(10) || chr(10) || '![图](a.png)' || chr(10) || '[参数](https://a.example/x) 见 `x`' as body from ingest), {_marked('b', 'row_id', 'body', "string_split(body, chr(10))")},
-  j as (select key, string_agg(case when code then line else regexp_replace(regexp_replace(line, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') end, chr(10) order by i) as t from hd group by 1)
+  j as (select key, string_agg(case when code then line else {_UNLINKED} end, chr(10) order by i) as t from hd group by 1)
   select b.row_id, md5(regexp_replace(j.t, '\n{{3,}}', chr(10) || chr(10), 'g')) as digest from b left join j on j.key = b.row_id""")
 def q31_markdown_links(spark, d):
     """Bodies with links and images put in, and taken out again outside code."""
@@ -460,6 +472,29 @@ def q32_split_sections(spark, d):
     return chunking.section_rows(read(spark, d, "ingest"), "row_id", "body").withColumnRenamed("id", "row_id")
 
 
+_RULE = rf"^{_WS}*\|?{_WS}*:?-+:?{_WS}*(?:\|{_WS}*:?-+:?{_WS}*)+\|?{_WS}*$"
+
+
+@query(rf"""with recursive {_marked('ingest', 'row_id', 'body', _split('body'))},
+  fl as (select key, i, line, mark, bare, {_blank('line')} as empty, regexp_matches(line, '^(?:    |\t)') as indent, contains(line, '|') as pipe, coalesce(regexp_matches(lead(line) over (partition by key order by i), '{_RULE}'), false) as ruled,
+    regexp_matches(line, '^ {{0,3}}(?:[-+*]|\d+[.)]){_WS}') as item from fe),
+  st as (select distinct key, 0::bigint as i, '' as kind, '' as mark, false as fresh, false as own from ls
+    union all select w.key, f.i,
+      case when w.kind = 'fence' then case when f.mark <> '' and left(f.mark, 1) = left(w.mark, 1) and length(f.mark) >= length(w.mark) and f.bare then '' else 'fence' end
+        when f.empty then case when w.kind = 'code' then 'code' else '' end
+        when w.kind = 'code' and f.indent or w.kind = 'table' and f.pipe or w.kind = 'text' and f.mark = '' and not f.item and not f.indent then w.kind
+        when f.mark <> '' then 'fence' when f.indent then 'code' when f.pipe and f.ruled then 'table' else 'text' end,
+      case when w.kind = 'fence' then w.mark else f.mark end,
+      w.kind <> 'fence' and not f.empty and not (w.kind = 'code' and f.indent or w.kind = 'table' and f.pipe or w.kind = 'text' and f.mark = '' and not f.item and not f.indent),
+      w.kind = 'fence' or not f.empty
+    from st w join fl f on f.key = w.key and f.i = w.i + 1),
+  no as (select *, sum(case when fresh then 1 else 0 end) over (partition by key order by i rows unbounded preceding) as n from st where i > 0)
+  select key as row_id, (n - 1)::int as block_no, max(case when fresh then case when kind = 'fence' then 'code' else kind end end) as kind, min(i)::int as first_line, (max(case when own then i end) - min(i) + 1)::int as lines from no where n > 0 group by key, n""")
+def q32_blocks(spark, d):
+    """The code, table and text blocks of each body."""
+    return sections.block_rows(read(spark, d, "ingest"), "row_id", "body").withColumnRenamed("id", "row_id")
+
+
 @query()
 def q32_chunk_rows(spark, d):
     """Chunks of all valid documents as the ingest makes them; documents that break a rule carry the problem."""
@@ -481,7 +516,7 @@ def q33_front_matter(spark, d):
     return f.select("row_id", F.size(F.filter(F.split(front, "\n"), lambda x: x != "")).alias("keys"), F.md5(body).alias("digest"))
 
 
-@query()
+@query(f"""select source, doc_type, component, array_to_string({_ERRORS}, ',') as errors from (select * replace ({_strip("coalesce(body, '')")} as body, null::map(varchar, varchar) as extra, null::map(varchar, varchar) as extra_types) from ingest)""")
 def q33_yaml_documents(spark, d):
     """Records written as files with front matter, read back, decoded and checked."""
     cols = {k: F.col(k) for k in ("id", "doc_type", "project", "service", "component", "deployment", "source_url")}
@@ -594,13 +629,26 @@ def q41_page_markdown(spark, d):
     return _pages(spark, d).select("row_id", hx.to_markdown("html", "title").alias("markdown"))
 
 
-@query()
+@query(rf"""with recursive {_marked('documents', 'doc_id', 'text', _split('text'))},
+  no as (select key, i, line, level, name, sum(case when level = 1 then 1 else 0 end) over (partition by key order by i rows unbounded preceding) as n from hd),
+  fi as (select key || '/' || n as key, key as doc_id, n, max(case when level = 1 then name end) as title, {_strip("regexp_replace(string_agg(line, chr(10) order by i), '\n{3,}', chr(10) || chr(10), 'g')")} as content from no where n > 0 group by no.key, n),
+  {_marked('fi', 'key', 'content', "string_split(content, chr(10))", 'f')},
+  j as (select key, regexp_replace(string_agg(case when code then line else {_UNLINKED} end, chr(10) order by i), '\n{{3,}}', chr(10) || chr(10), 'g') as t from fhd group by 1)
+  select doc_id, n::int as file_no, lpad(n::int::varchar, greatest(2, length(n::int::varchar))::int, '0') || '-ops-' ||
+    regexp_replace(regexp_replace(regexp_replace(title, '[\\/:*?"<>|\r\n\t]', '-', 'g'), '\s+', ' ', 'g'), '^[- ]+|[- ]+$', '', 'g') || '.md' as filename,
+    md5('---' || chr(10) || 'doc_type: "technology"' || chr(10) || 'component: "ops"' || chr(10) || '---' || chr(10) || chr(10) || j.t) as digest from fi join j using (key)""")
 def q42_level1_markdown(spark, d):
     """Documents as one Markdown file per level-1 heading."""
     f = preparation.level1_markdown(read(spark, d, "documents"), "doc_id", "text", "ops")
     return f.select(F.col("id").alias("doc_id"), "file_no", "filename", F.md5("content").alias("digest"))
 
 
+@query(f"""select count(*) filter (contains(body, 'e')) as succeeded, count(*) filter (not coalesce(contains(body, 'e'), false)) as failed from ingest""")
+def q42_counters(spark, d):
+    """How many records pass a check and how many don't."""
+    return preparation.counters(read(spark, d, "ingest"), F.col("body").contains("e"))
+
+
 @query()
 def q42_page_files(spark, d):
     """Pages as Markdown files with front matter, numbered over the whole table."""
