@@ -43,13 +43,14 @@ START, END = 2, 3  # code points put around each sentence
 WINDOW = 16  # grams of a placeholder's window
 SPAN = 8  # grams of a window of filler or notice
 #: What a window, and the mean of a unit, must reach; the part of a unit in such windows; the least sum, for which a high mean stands in.
-LEAST_RATIO, LEAST_COVER, LEAST_SUM = 1.3, 0.6, 20.0
+LEAST_RATIO, LEAST_COVER, LEAST_SUM = 1.3, 0.65, 20.0
 #: How much higher the mean must be where natural prose is still unknown.
 BEFORE = 1.0
 #: How much the fixed plain sentences weigh against the corpus.
 PLAIN_SHARE = 0.3
 UNKNOWN = -0.75  # the most that a gram unknown to a model counts
 STEP = 12  # ratios are kept as whole twelfths, a byte each
+SHORT = 6
 LONG = 12  # characters; what is shorter may be a term that the line explains
 HELD = 1 << 22  # bytes of sentences counted at once
 #: The kinds that are judged by whole sentences, and their models.
@@ -269,10 +270,21 @@ class Limits(NamedTuple):
     mean: float = LEAST_RATIO  # mean ratio of a unit, and of a window of SPAN grams in it
     cover: float = LEAST_COVER  # the part of a unit that lies in such windows
     total: float = LEAST_SUM  # the sum of a unit's ratios; less will do where every gram is known, or at a high mean
-    high: float = 2.5
+    high: float = 1.9  # that mean, for units of at least SHORT grams
+    higher: float = 2.5  # and for others
+    long_mean: float = 0.9  # a lower mean will do where the sum is high
+    long_total: float = 50.0
+    long_cover: float = 0.7
     placeholder: float = 9.0  # the sum in a placeholder's window
     ending: float = 2.0  # mean ratio of a window that ends a sentence
 
+    def reached(self, x: np.ndarray, mean: float) -> bool:
+        """Whether a unit's ratios are high enough in the mean and in sum."""
+        total = mean * len(x)
+        if mean >= self.mean:
+            return total >= self.total or mean >= (self.high if len(x) >= SHORT else self.higher) or len(x) > 2 and x.min() > 0
+        return mean >= self.long_mean and total >= self.long_total
+
 
 class Grams(NamedTuple):
     """The model cells of sentences."""
@@ -311,7 +323,7 @@ def natural_counts(texts: DataFrame, limits: Limits = Limits()) -> tuple[np.ndar
     nothing = np.zeros(CELLS, np.int64)
     bare = ratios((nothing, nothing, nothing))
     bare = texts.sparkSession.sparkContext.broadcast({k: v for k, v in bare.items() if k not in ("shape", "phrase")})
-    limits = limits._replace(mean=limits.mean + BEFORE)
+    limits = limits._replace(mean=limits.mean + BEFORE, long_mean=limits.mean + BEFORE, high=limits.high + BEFORE)
 
     def run(batches):
         total = np.zeros(3 * CELLS, np.int64)
@@ -348,14 +360,15 @@ def natural_counts(texts: DataFrame, limits: Limits = Limits()) -> tuple[np.ndar
 
 @lru_cache(1)
 def _words() -> frozenset[str]:
-    """The wordings that are a single word."""
-    return frozenset(r.strip(_CLOSING).lower() for _, names in WHOLE for name in names for r in (phrases.notices() | phrases.fillers())[name] if " " not in r and r.isascii())
+    """The wordings that are a single Latin word, or no longer than two signs."""
+    every = (r.strip(_CLOSING).lower() for rows in (phrases.notices() | phrases.fillers()).values() for r in rows)
+    return frozenset(r for r in every if len(r) < 3 or " " not in r and r.isascii())
 
 
 def _term(row: str) -> bool:
-    """Whether a unit has no letters, or is a single Latin word that isn't a wording by itself: a heading or a term, however like one it is spelled."""
+    """Whether a unit has no letters, or is a single Latin word or up to two signs that aren't a wording by themselves: a heading or a term, however like one it is spelled."""
     word = row.strip(_CLOSING)
-    return not any(map(str.isalnum, word)) or word.isascii() and word.isalpha() and word.lower() not in _words()
+    return not any(map(str.isalnum, word)) or (len(word) < 3 or word.isascii() and word.isalpha()) and word.lower() not in _words()
 
 
 def _cover(x: np.ndarray, least: float) -> float:
@@ -374,11 +387,13 @@ def _whole(g: Grams, ratio: dict[str, np.ndarray], limits: Limits) -> tuple[np.n
     n = np.diff(g.at)
     kind, score = np.zeros(len(n), np.int8), np.zeros(len(n), np.float32)
     most = np.add.reduceat(g.bound(ratio), g.at[:-1], dtype=np.int64)
-    for i in np.flatnonzero(most >= (limits.mean * STEP - 0.001) * n):
+    for i in np.flatnonzero(most >= (limits.long_mean * STEP - 0.001) * n):
         for k, name in ((k, name) for k, names in WHOLE for name in names):
             x = g.ratios(name, ratio, i)
             mean = x.mean()
-            if mean > max(score[i], limits.mean) and (x.sum() >= limits.total or x.min() > 0 or mean >= limits.high) and _cover(x, limits.mean) >= limits.cover and not _term(g.rows[i]):
+            if mean <= score[i] or not limits.reached(x, mean) or _term(g.rows[i]):
+                continue
+            if _cover(x, limits.mean) >= (limits.cover if mean >= limits.mean else limits.long_cover):
                 kind[i], score[i] = k, mean
     return kind, score
 

