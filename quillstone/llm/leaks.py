@@ -220,20 +220,27 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int =
     return out
 
 
+def _found(blocks: list[list[tuple[int, str]]], run_length: int):
+    """A function from a text in the compared form to its matches: item, its length, how much of it is covered, and the places in the text."""
+    built = [([i for i, _ in block], [s for _, s in block], *automata([s for _, s in block])) for block in blocks]
+
+    def find(text: str):
+        for ids, strings, forward, back in built:
+            if touches(text, forward, back, run_length):
+                for k, spans in matches(text, forward, run_length).items():
+                    yield ids[k], len(strings[k]), covered(spans, k, forward), [(x, y) for x, y, _ in spans]
+
+    return find
+
+
 def _scan(blocks: list[list[tuple[int, str]]], run_length: int):
     """All matches of each document: ``doc_id, item_id, a, b, covered, item_chars``, the last two the same for all of a pair."""
 
     def run(batches):
-        built = [([i for i, _ in block], [s for _, s in block], *automata([s for _, s in block])) for block in blocks]
+        find = _found(blocks, run_length)
         for b in batches:
-            docs, rows = b.column(0).to_pylist(), []
-            for doc, text in zip(docs, _compared(b.column(1))):
-                for ids, strings, forward, back in built:
-                    if not touches(text, forward, back, run_length):
-                        continue
-                    for k, spans in matches(text, forward, run_length).items():
-                        part = covered(spans, k, forward)
-                        rows.extend((doc, ids[k], x, y, part, len(strings[k])) for x, y, _ in spans)
+            docs = b.column(0).to_pylist()
+            rows = [(doc, item, x, y, part, n) for doc, text in zip(docs, _compared(b.column(1))) for item, n, part, spans in find(text) for x, y in spans]
             cols = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "a", "b", "covered", "item_chars"])
@@ -305,13 +312,25 @@ def without_leaks(
 
     A span goes if it is longer than ``max_length``, or if the document's spans of its item
     cover more than ``max_coverage`` of that.  Documents without such spans keep their text,
-    nulls stay null.
+    nulls stay null, rows without an id are searched like others.  Texts aren't shuffled: each
+    pass adds its spans to the row.
     """
-    spans = _search(docs, items, run_length, doc_id, doc_text, item_id, item_text, block_chars)
-    size = F.col("b") - F.col("a")
-    cut = spans.filter((size > max_length) | (F.col("covered") > max_coverage * F.col("item_chars"))).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("cuts"))
+    blocks = item_blocks(items, item_id, item_text, block_chars)
+    passes = [blocks[a : a + PASS_BLOCKS] for a in range(0, len(blocks), PASS_BLOCKS)]
 
-    def run(batches):
+    def marking(part):
+        def run(batches):
+            find = _found(part, run_length)
+            for b in batches:
+                cuts = b.column(2).to_pylist()
+                for i, text in enumerate(_compared(b.column(1))):
+                    for _, n, share, spans in find(text):
+                        cuts[i].extend(z for x, y in spans if y - x > max_length or share > max_coverage * n for z in (x, y))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cuts, pa.list_(pa.int32()))], names=["doc_id", "text", "cuts"])
+
+        return run
+
+    def removing(batches):
         for b in batches:
             texts, gone = [], []
             for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -319,16 +338,16 @@ def without_leaks(
                     texts.append(text), gone.append(0)
                     continue
                 where, drop = _origins(text), np.zeros(len(text), bool)
-                for s in cuts:
-                    if s["b"] > len(where):
-                        continue  # of another row with the same id
-                    end = where[s["b"] - 1] + 1
-                    follower = where[s["b"]] if s["b"] < len(where) else len(text)
+                for x, y in zip(cuts[::2], cuts[1::2]):
+                    end = where[y - 1] + 1
+                    follower = where[y] if y < len(where) else len(text)
                     while end < follower and _joins(text[end]):  # composed with the last one
                         end += 1
-                    drop[where[s["a"]] : end] = True
+                    drop[where[x] : end] = True
                 texts.append("".join(c for c, d in zip(text, drop.tolist()) if not d)), gone.append(int(drop.sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["doc_id", "text", "removed_chars"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
-    return src.join(cut, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(run, "doc_id long, text string, removed_chars long")
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).cast("string").alias("text"), F.array().cast("array<int>").alias("cuts"))
+    for part in passes:
+        out = out.mapInArrow(marking(part), "doc_id long, text string, cuts array<int>")
+    return out.mapInArrow(removing, "doc_id long, text string, removed_chars long")
