@@ -607,7 +607,25 @@ def q38_search_states(spark, d):
     return states.select("query_id", "status", F.array_join("reasons", ",").alias("reasons"), F.size("notices").alias("notices"))
 
 
-@query()
+def _json(**fields: str) -> str:
+    """A JSON object in which fields that are null are left out."""
+    parts = " || ".join(f"case when {x} is null then '' else ',\"{name}\":' || to_json({x}) end" for name, x in fields.items())
+    return f"'{{' || substr({parts}, 2) || '}}'"
+
+
+_ITEM_JSON = _json(
+    content_mode="i.content_mode", doc_id="i.doc_id", doc_type="i.doc_type", title="i.full_title", source="coalesce(p.source, i.p_source)", score="i.score", content="i.body_", snapshot_id="i.snapshot_id",
+    matched_sections="string_split(i.sections, '|')", chunk_id="i.chunk_id", component="p.component", source_url="p.source_url", section="p.section", chunk_index="p.chunk_index",
+)
+
+
+@query(f"""with recursive {_fit(16000)}, why as (select query_id, string_agg(rule, ',' order by rule) as reasons from (select distinct query_id, rule from bad union select query_id, rule from lost) group by 1),
+  js as (select i.query_id, i.rank, contains(',' || f.kept, ',' || i.rank || ',') as fits, coalesce(i.chunk_id, i.doc_id) as name, {_ITEM_JSON} as item from items i join fit f using (query_id) left join part p on p.query_id = i.query_id and p.chunk_id = i.chunk_id),
+  ag as (select query_id, string_agg(item, ',' order by rank) filter (fits) as items, string_agg(',' || to_json('结果 ' || name || ' 超过剩余正文预算，已整条省略；可缩小查询范围或减少 top_k。'), '' order by rank) filter (not fits) as left_out from js group by 1)
+  select r.query_id, case when len(r.invalid) > 0 then 'invalid' when w.reasons is not null then 'unavailable' else 'ok' end as status,
+    '{{"items":[' || coalesce(ag.items, '') || '],"notices":[' || case when len(r.invalid) > 0 or w.reasons is not null then '' else to_json('{retrieval.DISCLAIMER}') ||
+      case when exists (select 1 from cand c where c.query_id = r.query_id) then '' else ',' || to_json('{retrieval.NO_CANDIDATES}') end || coalesce(ag.left_out, '') end || ']}}' as response
+  from req r left join why w using (query_id) left join ag using (query_id)""")
 def q38_responses(spark, d):
     return retrieval.responses(*_answers(spark, d))
 
