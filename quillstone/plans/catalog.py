@@ -495,6 +495,20 @@ def q32_blocks(spark, d):
     return sections.block_rows(read(spark, d, "ingest"), "row_id", "body").withColumnRenamed("id", "row_id")
 
 
+_CHUNK = "'文档标题：' || s.title || chr(10) || '章节标题：' || s.section || chr(10) || chr(10) || s.content"
+
+
+@query(f"""with recursive lv as (select * from ingest qualify row_number() over (partition by source order by ingested_at desc, row_id desc) = 1), {_VALID.replace('from ingest', 'from lv')}, {SECTIONS},
+  own as (select v.doc_id, v.component, s.row_id, s.section_no, s.section, {_CHUNK} as text from sections s join valid v using (row_id) where v.doc_type <> 'technology')
+  select doc_id || '::section::' || section_no as chunk_id, doc_id, component, section, section_no as chunk_index, md5(text) as digest from own where row_id not in (select row_id from own where length(text) > 510)""")
+def q32_project_chunks(spark, d):
+    """Chunks of the valid project documents, one a section; a document with a section above the limit has none."""
+    valid, _ = docs.validated(docs.latest(read(spark, d, "ingest"), ["source"], [F.col("ingested_at"), F.col("row_id")]))
+    project = valid.filter(F.col("doc_type") != "technology")
+    chunks = chunking.make_chunks(project, chunking.chunk_rows(project))
+    return chunks.select("chunk_id", "doc_id", "component", "section", "chunk_index", F.md5("text").alias("digest"))
+
+
 @query()
 def q32_chunk_rows(spark, d):
     """Chunks of all valid documents as the ingest makes them; documents that break a rule carry the problem."""
