@@ -30,21 +30,19 @@ from . import lookalike as la
 
 #: Characters of one block's automata, and blocks of one pass over the corpus.
 BLOCK_CHARS = 200_000
-PASS_BLOCKS = 4
+PASS_BLOCKS = 2
 GRAM = 8
 
 
 class Automaton:
     """A suffix automaton of several strings.
 
-    ``grams`` are the strings of ``GRAM`` characters that it holds: most windows without a
-    match end with another one.  A state with one transition holds it in two flat arrays, others have a dictionary.  The
+    A state with one transition holds it in two flat arrays, others have a dictionary.  The
     places where a state's strings end, in which string and where, are a slice of two
     arrays in the order of the tree of suffix links.
     """
 
     def __init__(self, strings: list[str]):
-        self.grams = {s[i : i + GRAM] for s in strings for i in range(len(s) - GRAM + 1)}
         self._grow: list[dict[str, int]] = [{}]
         self.link, self.size = array("i", [-1]), array("i", [0])
         ends: list[tuple[int, int, int]] = []  # state, string, characters read
@@ -127,22 +125,25 @@ class Automaton:
         return self.end[part][self.string[part] == string].tolist()
 
 
-_built: dict[str, tuple[Automaton, Automaton]] = {}
+_built: dict[str, tuple[Automaton, Automaton, set[str]]] = {}
 
 
-def automata(strings: list[str]) -> tuple[Automaton, Automaton]:
-    """The automata of the strings and of the reversed ones, built once per worker."""
+def automata(strings: list[str]) -> tuple[Automaton, Automaton, set[str]]:
+    """The automata of the strings and of the reversed ones, and the strings of ``GRAM`` characters they hold, built once per worker."""
     name = hashlib.sha256("\0".join(strings).encode()).hexdigest()
     if name not in _built:
         if len(_built) > PASS_BLOCKS:
             _built.clear()
-        _built[name] = Automaton(strings), Automaton([s[::-1] for s in strings])
+        _built[name] = Automaton(strings), Automaton([s[::-1] for s in strings]), {s[i : i + GRAM] for s in strings for i in range(len(s) - GRAM + 1)}
     return _built[name]
 
 
-def touches(text: str, forward: Automaton, back: Automaton, run: int) -> bool:
-    """Whether some string shares ``run`` characters with the text; ``back`` is of the reversed strings."""
-    grams, at_, n, gram = forward.grams, 0, len(text), min(GRAM, run)
+def touches(text: str, back: Automaton, grams: set[str], run: int) -> bool:
+    """Whether some string shares ``run`` characters with the text; ``back`` is of the reversed strings.
+
+    Most windows without a match end with a string that isn't among ``grams``.
+    """
+    at_, n, gram = 0, len(text), min(GRAM, run)
     sign, goal, many, none = back.sign, back.goal, back.many, {}
     while at_ + run <= n:
         j = at_ + run
@@ -225,8 +226,8 @@ def _found(blocks: list[list[tuple[int, str]]], run_length: int):
     built = [([i for i, _ in block], [s for _, s in block], *automata([s for _, s in block])) for block in blocks]
 
     def find(text: str):
-        for ids, strings, forward, back in built:
-            if touches(text, forward, back, run_length):
+        for ids, strings, forward, back, grams in built:
+            if touches(text, back, grams, run_length):
                 for k, spans in matches(text, forward, run_length).items():
                     yield ids[k], len(strings[k]), covered(spans, k, forward), [(x, y) for x, y, _ in spans]
 

@@ -185,17 +185,17 @@ def test_leaks_equal_brute_force(spark):
 
 
 def test_longest_matches():
-    a, back = leaks.automata(["abcdefgh", "xxabcdzz", "cdefghij"])
+    a, back, grams = leaks.automata(["abcdefgh", "xxabcdzz", "cdefghij"])
     found = leaks.matches("--abcdefghij--", a, 4)
     assert {k: [s[:2] for s in v] for k, v in found.items()} == {0: [(2, 10)], 1: [(2, 6)], 2: [(4, 12)]}
-    assert leaks.touches("--abcdefghij--", a, back, 8) and not leaks.touches("--abcdefghij--", a, back, 9)
+    assert leaks.touches("--abcdefghij--", back, grams, 8) and not leaks.touches("--abcdefghij--", back, grams, 9)
     assert [leaks.covered(found[k], k, a) for k in (0, 1, 2)] == [8, 4, 8]
 
 
 def test_every_end_of_a_state_is_known():
     rng = random.Random(3)
     strings = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(8)]
-    a, _ = leaks.automata(strings)
+    a, _, _ = leaks.automata(strings)
     for n in (1, 2, 3):
         for word in {s[i : i + n] for s in strings for i in range(len(s) - n + 1)}:
             state = 0
