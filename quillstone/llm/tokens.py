@@ -13,6 +13,7 @@ import collections
 import hashlib
 import heapq
 from functools import lru_cache
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +84,16 @@ class Counter:
 
     def __call__(self, text: str) -> int:
         known, found = self.known, collections.Counter(self.find(text))
+        try:
+            return sum(map(mul, map(known.__getitem__, found), found.values()))
+        except KeyError:
+            pass
         if len(known) > KEPT:
             known.clear()
-        for piece in [p for p in found if p not in known]:
-            known[piece] = count_tokens(piece.encode("utf-8", "replace"), self.ranks)
-        return sum(n * known[piece] for piece, n in found.items())
+        for piece in found:
+            if piece not in known:
+                known[piece] = count_tokens(piece.encode("utf-8", "replace"), self.ranks)
+        return sum(map(mul, map(known.__getitem__, found), found.values()))
 
 
 def counter_for(spark, path: str = TOKENIZER, pattern: str = PATTERN):
