@@ -141,6 +141,7 @@ def with_parents(winners: DataFrame, parents: DataFrame) -> tuple[DataFrame, Dat
     Parents are read for winners only: their few keys meet the parents first, so no other
     body is grouped or moved.  Where parents have an ``id``, it must be that of the document.
     """
+    winners = staged(winners, "winners")  # at most top_k a request, read for their keys and to be completed
     needed = winners.filter(F.col("content_mode") == "full").select("snapshot_id", "doc_id").distinct()
     parents = parents.join(needed, ["snapshot_id", "doc_id"], "left_semi")
     own = F.col("id") if "id" in parents.columns else F.col("doc_id")
