@@ -77,6 +77,14 @@ def ingest(
     return index.report_row(spark, index.sync(spark, root, whole, project if not project.isEmpty() else None, model or STAND_IN))
 
 
+def opened(spark: SparkSession, root: str, model: dict | None) -> dict:
+    """What a session needs before its first request: the index's manifest; raises where there is none, or it is of another model."""
+    manifest = index.read_manifest(spark, root)
+    if manifest.get("model") and manifest["model"] != model:
+        raise KnowledgeUnavailable(f"the index was built with {manifest['model']}, not with {model}")
+    return manifest
+
+
 def search(
     spark: SparkSession, root: str, queries: DataFrame, embed: Embedder = hashed_vectors, rerank: Reranker = rt.lexical_rerank, recall_k: int = rt.RECALL,
     budget: int = rt.CONTENT_CHARS, model: dict | None = None,
@@ -86,10 +94,7 @@ def search(
     Raises where there is no index, or where it was built with another model than ``model``,
     by default the stand-in with its own embedder. An empty one answers with its notice.
     """
-    manifest = index.read_manifest(spark, root)
-    model = model or (STAND_IN if embed is hashed_vectors else None)
-    if manifest.get("model") and manifest["model"] != model:
-        raise KnowledgeUnavailable(f"the index was built with {manifest['model']}, not with {model}")
+    manifest = opened(spark, root, model or (STAND_IN if embed is hashed_vectors else None))
     chunks = index.read_chunks(spark, root, vectors=True)
     good = rt.requests(queries).filter(F.size("invalid") == 0)
     prefixed = good.select(F.col("query_id").alias("id"), F.concat(F.lit(recall.INSTRUCTION), "query").alias("text"))
