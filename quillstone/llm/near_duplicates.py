@@ -13,7 +13,7 @@ fail on these within the join.  Pairs left are screened by the distance of their
 fingerprints and verified exactly.
 
 Equal texts are one class with one representative; keys, joins and verification run over
-classes.  No bucket is capped.
+classes.  No bucket is capped, and no table is broadcast.
 """
 
 from __future__ import annotations
@@ -172,8 +172,17 @@ def _verified(run_length: int, similarity: float):
     return run
 
 
-def classes(df: DataFrame, id_col: str, text_col: str, least: int, run_length: int, segments: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Membership ``id, rep`` of classes of equal forms, and ``id, print`` and ``id, form`` of the representatives.
+def _merged(df: DataFrame) -> DataFrame:
+    """A side of a join that sorts and merges, so that neither side goes through the driver.
+
+    Spark guesses a staged table's size by its compressed file, and that of rows made from it by their
+    width, not their number: a print's 198 keys count as one, and a text as 20 bytes.
+    """
+    return df.hint("merge")
+
+
+def classes(df: DataFrame, id_col: str, text_col: str, least: int, run_length: int, segments: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Membership ``id, rep`` of classes of equal forms, ``id, print`` and ``id, fk`` of the representatives, and ``id, fk, form`` of all rows.
 
     Null ids, null texts and forms shorter than ``least`` are out; repeated rows count once.
     Where rows repeat an id with different texts, the one of least digest stands for it.
@@ -183,10 +192,10 @@ def classes(df: DataFrame, id_col: str, text_col: str, least: int, run_length: i
     forms = staged(rows.withColumn("fk", F.unhex(F.md5("form"))), "forms")
     keyed = forms.groupBy("id").agg(F.min("fk").alias("fk"))
     rep = staged(keyed.groupBy("fk").agg(F.min("id").alias("rep")), "classes")
-    members = keyed.join(rep, "fk").select("id", "rep")
+    members = keyed.join(_merged(rep), "fk").select("id", "rep")
     own = rep.select("fk", F.col("rep").alias("id"))
-    prints = forms.select("id", "fk", "print").join(own, ["id", "fk"], "left_semi").groupBy("id").agg(F.first("print").alias("print"))
-    return members, prints, forms.select("id", "fk", "form").join(own, ["id", "fk"], "left_semi").select("id", "form")
+    prints = forms.select("id", "fk", "print").join(_merged(own), ["id", "fk"], "left_semi").groupBy("id").agg(F.first("print").alias("print"))
+    return members, prints, own, forms.select("id", "fk", "form")
 
 
 def near_pairs(
@@ -197,25 +206,26 @@ def near_pairs(
     ``slack`` is the part of differing bits beyond the expected (1 - J) / 2 that the screen lets through,
     ``sketch_slack`` the same for the 64 bits beside a key.
     """
-    members, prints, texts = classes(df, id_col, text_col, least, run_length, segments)
+    members, prints, own, forms = classes(df, id_col, text_col, least, run_length, segments)
     members, prints = staged(members, "members"), staged(prints, "prints")
     keys = prints.mapInArrow(_keys, "id long, key long, sketch long")
     alike = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= int(64 * ((1 - similarity) / 2 + sketch_slack))
-    met = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    met = keys.alias("x").join(_merged(keys.alias("y")), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & alike).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     allowed = int(23 * segments * ((1 - similarity) / 2 + slack))
     close = (
-        met.join(prints.select(F.col("id").alias("a"), F.col("print").alias("pa")), "a")
-        .join(prints.select(F.col("id").alias("b"), F.col("print").alias("pb")), "b")
+        met.join(_merged(prints.select(F.col("id").alias("a"), F.col("print").alias("pa"))), "a")
+        .join(_merged(prints.select(F.col("id").alias("b"), F.col("print").alias("pb"))), "b")
         .filter(differ <= allowed)
         .select("a", "b")
     )
     close = staged(close, "close")
     needed = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
-    texts = staged(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")  # only texts of some pair are moved
+    needed = own.join(_merged(needed), "id", "left_semi")
+    texts = staged(forms.join(_merged(needed), ["id", "fk"], "left_semi").select("id", "form").dropDuplicates(["id"]), "texts")
     pairs = (
-        close.join(texts.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
+        close.join(_merged(texts.select(F.col("id").alias("a"), F.col("form").alias("fa"))), "a")
+        .join(_merged(texts.select(F.col("id").alias("b"), F.col("form").alias("fb"))), "b")
         .select("a", "b", "fa", "fb")
         .mapInArrow(_verified(run_length, similarity), "a long, b long, similarity double")
     )
@@ -226,13 +236,13 @@ def near_duplicate_rows(df: DataFrame, id_col: str, text_col: str, **how) -> Dat
     """All pairs of rows, ``row_a < row_b``: members of one class and of classes that are near."""
     pairs, members = near_pairs(df, id_col, text_col, **how)
     across = (
-        pairs.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-        .join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
+        pairs.join(_merged(members.select(F.col("rep").alias("a"), F.col("id").alias("x"))), "a")
+        .join(_merged(members.select(F.col("rep").alias("b"), F.col("id").alias("y"))), "b")
         .select("x", "y")
     )
     several = members.groupBy("rep").count().filter("count > 1").select("rep")
-    own = members.join(several, "rep", "left_semi")
-    inside = own.alias("p").join(own.alias("q"), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("x"), F.col("q.id").alias("y"))
+    own = members.join(_merged(several), "rep", "left_semi")
+    inside = own.alias("p").join(_merged(own.alias("q")), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("x"), F.col("q.id").alias("y"))
     both = across.unionByName(inside).filter("x <> y")
     return both.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).distinct()
 
@@ -252,7 +262,7 @@ def components(pairs: DataFrame, members: DataFrame, most_rounds: int = 60) -> D
             else:
                 both = edges
             low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-            hop = both.join(low, "u")
+            hop = both.join(_merged(low), "u")
             if large:
                 hop = hop.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:
@@ -265,7 +275,7 @@ def components(pairs: DataFrame, members: DataFrame, most_rounds: int = 60) -> D
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return members.join(edges.select(F.col("u").alias("rep"), "v"), "rep", "left").select("id", "rep", F.coalesce("v", "rep").alias("group"))
+    return members.join(_merged(edges.select(F.col("u").alias("rep"), "v")), "rep", "left").select("id", "rep", F.coalesce("v", "rep").alias("group"))
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
@@ -279,6 +289,6 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **how) -> D
     links = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     ids = df.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
     best = found.groupBy("id").agg(F.min("group").alias("group"), F.min("rep").alias("rep"))
-    out = ids.join(best, "id", "left").join(links, "rep", "left").withColumn("group_id", F.coalesce("group", "id"))
+    out = ids.join(_merged(best), "id", "left").join(_merged(links), "rep", "left").withColumn("group_id", F.coalesce("group", "id"))
     sizes = out.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
-    return out.join(sizes, "group_id").select("id", "group_id", F.col("group_size").cast("long").alias("group_size"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.join(_merged(sizes), "group_id").select("id", "group_id", F.col("group_size").cast("long").alias("group_size"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

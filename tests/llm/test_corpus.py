@@ -139,6 +139,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert nd.near_duplicate_groups(df.limit(0), "row_id", "body").count() == 0
 
 
+def test_near_duplicates_send_no_table_through_the_driver(spark, monkeypatch):
+    rng = random.Random(14)
+    rows = [(3 * i + k, t) for i in range(20) for base in [prose(rng, 400)] for k, t in enumerate((base, base[:390], base))]
+    df = spark.createDataFrame(rows, "row_id long, body string")
+    plans, staged = [], nd.staged
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(nd, "staged", lambda x, name: plans.append((name, plan(x))) or staged(x, name))
+    for made, n in ((nd.near_duplicate_rows(df, "row_id", "body"), 60), (nd.near_duplicate_groups(df, "row_id", "body"), 60)):
+        plans.append(("result", plan(made)))
+        assert made.count() == n
+    assert {"close", "pairs", "members", "prints", "texts", "links", "result"} <= {name for name, _ in plans}
+    assert [name for name, p in plans if "Broadcast" in p] == []
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     pairs = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501)], "a long, b long")
